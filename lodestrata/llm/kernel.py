@@ -98,8 +98,8 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.ndarra
             s = np.sort(total[a : b - n + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif b > a:
-            short = (h[a:b] * (salt[: b - a] | np.uint64(1))).sum(dtype=np.uint64) + np.uint64(b - a) * salt[n]
-            out.append(mix(np.array([short], np.uint64)))
+            short = (h[a:b] * (salt[: b - a] | np.uint64(1))).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix(short ^ salt[b - a : b - a + 1]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

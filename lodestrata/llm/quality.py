@@ -175,10 +175,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     return model
 
 
-def _features(batches, keep: int):
-    """(kept columns, features) of each batch whose last column is the text as bytes."""
+def _features(batches, keep: int, at: int | None = None):
+    """(kept columns, features) of each batch; at: the place of the text (behind the kept columns)."""
     for batch in batches:
-        rows = [describe(buf, offsets) for _, buf, offsets in kernel.pieces(batch.column(keep))]
+        rows = [describe(buf, offsets) for _, buf, offsets in kernel.pieces(batch.column(keep if at is None else at))]
         yield [batch.column(i) for i in range(keep)], np.concatenate(rows) if rows else np.zeros((0, len(NAMES)))
 
 
@@ -197,12 +197,13 @@ def train(docs: DataFrame, labels: DataFrame, kept: Column, label: str = "qualit
 def score(docs: DataFrame, model: Additive, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns and `score`, 0 to 1."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         import pyarrow as pa
 
-        for columns, x in _features(batches, len(keep)):
+        for columns, x in _features(batches, len(keep), at):
             yield pa.RecordBatch.from_arrays([*columns, pa.array(shipped.value.score(x), pa.float64())], names=[*keep, "score"])
 
-    own = docs.select(*keep, docs[text].cast("binary").alias("_text"))
-    return own.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]] + ["score double"]))
+    own = docs.select(*keep, *([docs[text].cast("binary").alias("_text")] if text not in keep else []))
+    return own.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)]] + ["score double"]))

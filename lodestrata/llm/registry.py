@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, mixing, quality, toxicity
+from lodestrata.llm import bpe, jaccard, mixing, quality, toxicity
 from lodestrata.llm.common import read, remainder
 
 
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(read(spark, folder, "documents"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     m = mixing.mix(read(spark, folder, "documents"), keep_text=False)
     return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), "source")
@@ -33,7 +37,9 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mixing, op4_quality_classifier, op5_toxicity, op9_bpe)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_ngram_jaccard, op3_mixing, op4_quality_classifier, op5_toxicity, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -288,6 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, kept: Column, label: str = "toxic"
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns and `score`, 0 to 1."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches):
         import pyarrow as pa
@@ -295,8 +296,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         m = shipped.value
         r, memo = Restorer(m.cost), {}
         for batch in batches:
-            scores = [m.score(m.evidence(r.words(t), memo)) for t in batch.column(len(keep)).to_pylist()]
+            scores = [m.score(m.evidence(r.words(t), memo)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    own = docs.select(*keep, docs[text].alias("_text"))
-    return own.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]] + ["score double"]))
+    own = docs.select(*keep, *([docs[text].alias("_text")] if text not in keep else []))
+    return own.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)]] + ["score double"]))
