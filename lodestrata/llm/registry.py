@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, jaccard, mixing, quality, toxicity
+from lodestrata.llm import bpe, jaccard, licenses, mixing, quality, toxicity, winnowing
 from lodestrata.llm.common import read, remainder
 
 
+def op1_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read(spark, folder, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(read(spark, folder, "documents"))
 
@@ -32,6 +36,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.compare(read(spark, folder, "documents"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), ["doc_id"])
 
@@ -39,8 +47,8 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op2_ngram_jaccard, op3_mixing, op4_quality_classifier, op5_toxicity, op9_bpe)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard, op3_mixing, op4_quality_classifier, op5_toxicity, op7_winnowing, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scans": licenses.sql()}
