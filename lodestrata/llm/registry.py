@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, jaccard, licenses, mixing, quality, toxicity, winnowing
+from lodestrata.llm import bpe, jaccard, licenses, mixing, quality, search, toxicity, winnowing
 from lodestrata.llm.common import read, remainder
 
 
@@ -44,10 +44,16 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), ["doc_id"])
 
 
+def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    return search.search(docs, asked)
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard, op3_mixing, op4_quality_classifier, op5_toxicity, op7_winnowing, op9_bpe)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard, op3_mixing, op4_quality_classifier, op5_toxicity, op7_winnowing, op9_bpe, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
