@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, jaccard, licenses, mixing, quality, search, toxicity, winnowing
+from lodestrata.llm import bpe, html, jaccard, licenses, mixing, quality, search, toxicity, winnowing
 from lodestrata.llm.common import read, remainder
 
 
@@ -36,6 +36,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(read(spark, folder, "pages"), ["page_id", "url"])
+
+
 def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.compare(read(spark, folder, "documents"))
 
@@ -53,7 +57,7 @@ def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard, op3_mixing, op4_quality_classifier, op5_toxicity, op7_winnowing, op9_bpe, op10_topk_search)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard, op3_mixing, op4_quality_classifier, op5_toxicity, op6_html_extraction, op7_winnowing, op9_bpe, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
