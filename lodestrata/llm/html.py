@@ -157,6 +157,7 @@ SAMPLES = [
     [("<body><p>", "+" + P), ("<p>", "+" + P + P), ("<p>", "+" + P)],
     [("<body><p>", "+" + P), ("<p>", "+Yes."), ("<div>", "All rights reserved")],
     [("<main><p>", "+" + P)],
+    [("<article><p>", "+" + P), ("<p>", "+So."), ("<p>", "+No.")],
 ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, html, jaccard, licenses, mixing, quality, search, toxicity, winnowing
+from lodestrata.llm import bpe, html, jaccard, licenses, mixing, quality, quotes, search, toxicity, winnowing
 from lodestrata.llm.common import read, remainder
 
 
@@ -44,6 +44,10 @@ def op7_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.compare(read(spark, folder, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.conversations(read(spark, folder, "conversations"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(read(spark, folder, "documents"), ["doc_id"])
 
@@ -57,7 +61,7 @@ def op10_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard, op3_mixing, op4_quality_classifier, op5_toxicity, op6_html_extraction, op7_winnowing, op9_bpe, op10_topk_search)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_license_scans, op2_ngram_jaccard, op3_mixing, op4_quality_classifier, op5_toxicity, op6_html_extraction, op7_winnowing, op8_chat_formatting, op9_bpe, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
