@@ -10,7 +10,8 @@ at least 3/4, which whole-number arithmetic decides. Texts with equal sets are o
    are one longer. The extended prefixes are indexed by token.
 3. Rare tokens give candidate pairs, under length and positional filters; a frequent token (more than RARE nodes) gives
    only stars: each node with the first one of about its size. Stars, those of rare tokens too, are verified and joined
-   into components. Pairs within a component have nothing left to say; the others are verified.
+   into components; frequent tokens get more stars, round other nodes. Pairs within a component have nothing left to say;
+   the others are verified.
 4. Frequent tokens whose nodes are by then in one component have nothing left to find. Of the others, nodes are indexed by
    combinations of two tokens, and pairs across components become candidates; a token of a node with very many such tokens
    stays single, with the first-token filter. So copies are connected without all their pairs, and no link is lost.
@@ -28,7 +29,7 @@ from math import ceil, log2
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernel
@@ -38,6 +39,7 @@ from lodestrata.llm.components import components
 WORDS = 5
 RARE = 48  # nodes of a token up to which all its pairs are candidates
 HEAVY, MOST_HEAVY = 32, 1 << 18  # texts from which a token counts as frequent in the order, and how many are kept
+ROUNDS, CENTERS = 3, 3  # further stars of frequent tokens, and centers of each
 COMBINED = 24  # tokens of a node up to which combinations are made
 SEEN = 1 << 19  # nodes that a task remembers, so as to send copies once
 SMALL = 2_000_000  # rows up to which a table of numbers is broadcast
@@ -299,8 +301,8 @@ def lengthened(raw: bytes) -> tuple[int, np.ndarray]:
     return raw[0], np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def sets_of(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
-    """(node, set) of the nodes of pairs, made anew from the texts: only these are shuffled."""
+def sets_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
+    """(node, set) of the asked nodes, made anew from the texts: only these are shuffled."""
 
     def run(batches):
         import pyarrow as pa
@@ -316,12 +318,12 @@ def sets_of(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
                 held = []
         yield batch(held)
 
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    nodes = written(nodes.distinct())
     every = _texts(docs, text).mapInArrow(run, "node long, tokens binary")
     return every.join(small(nodes), "node", "left_semi").dropDuplicates(["node"])
 
 
-def verify(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
 
     def run(batches):
@@ -340,7 +342,6 @@ def verify(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
                 keep.append(4 * common >= 3 * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    sets = sets_of(docs, text, pairs)
     one, two = (sets.select(F.col("node").alias(side), F.col("tokens").alias(f"_{side}")) for side in ("a", "b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
@@ -354,11 +355,48 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def open_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Candidate pairs across components from frequent tokens; None if there are none. labels: (node, component)."""
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def mixed(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of tokens whose nodes are in more than one component, with the component. labels: (node, component)."""
     e = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = e.groupBy("token").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("token")
-    e = written(e.join(mixed, "token", "left_semi"))
+    tokens = e.groupBy("token").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("token")
+    return written(e.join(tokens, "token", "left_semi"))
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    return written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
+
+
+def star_rounds(entries: DataFrame, labels: DataFrame, tested: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(components, tested pairs) after stars round other nodes of frequent tokens that are still mixed.
+
+    Centers are the least nodes by a hash that differs from round to round, so tokens of one group of copies share them;
+    a round makes CENTERS pairs at most for an entry.
+    """
+    e = mixed(entries, labels)
+    if e.isEmpty():
+        return labels, tested
+    sets = written(sets_of(docs, text, e.select("node")))
+    for r in range(ROUNDS):
+        order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(r)))
+        c = e.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= CENTERS).select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("component").alias("_component"))
+        near = e.join(c, "token").where((F.col("component") != F.col("_component")) & (4 * F.least("n", "_n") >= 3 * F.greatest("n", "_n")))
+        pairs = written(near.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(pairs)
+        labels = relabelled(labels, verify(pairs, sets))
+        e = mixed(entries, labels)
+        if e.isEmpty():
+            break
+    return labels, tested
+
+
+def open_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Candidate pairs across components from frequent tokens; None if there are none."""
+    e = mixed(entries, labels)
     if e.isEmpty():
         return None
     load = e.groupBy("node").agg(F.count(F.lit(1)).alias("f"))
@@ -409,13 +447,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     found = written(candidates(index(docs, text, frequent(docs, text))))
     stars = written(found.where("kind = 2").select("a", "b").distinct())
     entries = found.where("kind = 1").select("token", F.col("a").alias("node"), "n", "pos")
-    labels = written(components(verify(docs, text, stars)))
+    labels = written(components(verify(stars, sets_of(docs, text, ends(stars)))))
+    labels, tested = star_rounds(entries, labels, stars, docs, text)
     pairs = across(found.where("kind = 0").select("a", "b").distinct(), labels)
     more = open_pairs(entries, labels)
-    rest = written((pairs if more is None else pairs.union(more)).distinct().join(stars, ["a", "b"], "left_anti"))
+    rest = written((pairs if more is None else pairs.union(more)).distinct().join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = verify(docs, text, rest)
-        labels = written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
+        labels = relabelled(labels, verify(rest, sets_of(docs, text, ends(rest))))
     rows = written(members(docs, doc_id, text, []))
     ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(doc_id).alias("_id"))
     ids = ids.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
