@@ -6,7 +6,7 @@ both. Hash and position are packed into one number, the position turned round, s
 right; minima over runs come from doubling: least of two neighbours, of four, and so on.
 
 Nulls are empty texts, whose fingerprints are empty; a text shorter than GRAM has one hash, of the whole. Very long texts
-are read whole (up to 2**29 code points). Repeated rows have the same fingerprints; among equal doc_ids the order is by a
+are read whole. Repeated rows have the same fingerprints; among equal doc_ids the order is by a
 hash of the text, nulls come last.
 """
 
@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators.ordinals import bounds, range_of
 
-GRAM, WINDOW = 12, 16  # WINDOW: a power of two
+GRAM, WINDOW = 16, 16  # powers of two
 MAX_POS = 2147483647
 
 
-def _packed(h: Column, pos: Column) -> Column:
-    return F.shiftleft(h.cast("long"), 31).bitwiseOR((F.lit(MAX_POS) - pos).cast("long"))
+def _joined(h: Column, step: int):
+    return lambda x, i: F.xxhash64(x, F.get(h, i + step))
 
 
-def _gram_at(raw: Column, gram: int):
-    return lambda i: _packed(F.hash(F.substring(raw, i * 4 + 1, F.lit(4 * gram))), i)
+def _packed(x: Column, i: Column) -> Column:
+    return F.shiftleft(F.shiftright(x, 32), 31).bitwiseOR((F.lit(MAX_POS) - i).cast("long"))
 
 
 def _least_with(m: Column, step: int):
@@ -34,24 +34,26 @@ def _least_with(m: Column, step: int):
 
 
 def fingerprints(df: DataFrame, columns: dict[str, str], gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Adds for each text column (name: new column) its selected numbers, in the order of their positions."""
-    first = {}
-    for text, name in columns.items():
-        raw = F.encode(F.col(text), "UTF-32")
-        first[f"_raw_{name}"] = raw
-    df = df.withColumns(first)
-    hashed = {}
-    for text, name in columns.items():
-        raw, n = F.col(f"_raw_{name}"), F.length(text)
-        hashed[f"_m_{name}"] = F.when(n >= gram, F.transform(F.sequence(F.lit(0), n - gram), _gram_at(raw, gram))).when(n > 0, F.array(_packed(F.hash(raw), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
-        hashed[f"_n_{name}"] = F.greatest(n - gram - window + 2, F.lit(1))  # runs; a short text has one
-    df = df.withColumns(hashed).drop(*first)
+    """Adds for each text column (name: new column) its selected numbers, in the order of their positions.
+
+    Hashes of grams come from doubling too: of one code point, of two, of four, and so on. Each step is a projection over
+    arrays, whose elements are read in place; strings and binaries would be copied or walked for every position.
+    """
+    names = list(columns.values())
+    df = df.withColumns({f"_n_{name}": F.length(text) for text, name in columns.items()} | {f"_m_{name}": F.transform(F.split(text, ""), lambda c: F.xxhash64(c)) for text, name in columns.items()})
+    step = 1
+    while step < gram:
+        df = df.withColumns({f"_m_{name}": F.transform(F.col(f"_m_{name}"), _joined(F.col(f"_m_{name}"), step)) for name in names})
+        step *= 2
+    # a text shorter than a gram keeps its first hash, which covers all of it
+    df = df.withColumns({f"_m_{name}": F.transform(F.slice(f"_m_{name}", F.lit(1), F.greatest(F.col(f"_n_{name}") - gram + 1, F.least(f"_n_{name}", F.lit(1)))), _packed) for name in names})
     step = 1
     while step < window:
-        df = df.withColumns({f"_m_{name}": F.transform(F.col(f"_m_{name}"), _least_with(F.col(f"_m_{name}"), step)) for name in columns.values()})
+        df = df.withColumns({f"_m_{name}": F.transform(F.col(f"_m_{name}"), _least_with(F.col(f"_m_{name}"), step)) for name in names})
         step *= 2
-    df = df.withColumns({name: F.array_distinct(F.slice(f"_m_{name}", F.lit(1), F.col(f"_n_{name}"))) for name in columns.values()})
-    return df.drop(*[f"_{k}_{name}" for name in columns.values() for k in "mn"])
+    runs = lambda name: F.greatest(F.col(f"_n_{name}") - gram - window + 2, F.least(f"_n_{name}", F.lit(1)))  # noqa: E731  of a short text one
+    df = df.withColumns({name: F.array_distinct(F.slice(f"_m_{name}", F.lit(1), runs(name))) for name in names})
+    return df.drop(*[f"_{k}_{name}" for name in names for k in "mn"])
 
 
 def grams(fingerprint: Column) -> Column:
