@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as a class for Java and Python patterns: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
+BLANK = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,6 +42,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def spaced(c: Column, separators: str) -> Column:
+    """A text's words with one space between them. Separators are replaced, not words extracted: extraction copies the
+    whole text for every match, which takes the square of a long text's length."""
+    return F.trim(F.regexp_replace(c, f"{separators}+", " "))
+
+
+def spaced_words(c: Column) -> Column:
+    """How many words a text of `spaced` has; null for a null."""
+    return F.when(c == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of an id as text, modulo n; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n).cast("long"))

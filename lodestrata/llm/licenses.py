@@ -20,9 +20,10 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import LOWER, UPPER, ascii_lower, written
+from lodestrata.llm.common import LOWER, UPPER, ascii_lower, spaced, spaced_words, written
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 # fixed values: base phrases and their labels
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 # notices that licenses ask for, as words
@@ -49,7 +50,8 @@ def needed(n: int) -> int:
 
 
 def _words(c):
-    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    """Words of a text or line; one empty word, which no template has, if there are none."""
+    return F.split(spaced(c, BETWEEN), " ")
 
 
 def _strings(values) -> F.Column:
@@ -81,7 +83,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     ranked = _strings(sorted(vocabulary, key=rank.get))
 
     base = docs.select(F.col(doc_id).alias("_id"), ascii_lower(F.coalesce(text, F.lit(""))).alias("_text"))
-    base = base.withColumn("_words", _words(F.col("_text"))).withColumn("_joined", F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))
+    base = base.withColumn("_spaced", spaced(F.col("_text"), BETWEEN)).withColumns({"_words": F.split("_spaced", " "), "_joined": F.concat(F.lit(" "), "_spaced", F.lit(" "))})
     places = []
     for phrase, _ in phrases:
         at = F.filter(F.sequence(F.lit(0), F.size("_words") - len(phrase.split())), _stands_at(phrase.split()))
@@ -89,7 +91,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     lines = F.split("_text", "\n")
     blocks = F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("block"), F.array_intersect(ranked, _words(l)).alias("words"))), lambda b: F.size(b["words"]) >= least)
     hit = F.arrays_overlap("_words", _strings(sorted({p[0] for p in prefixes})))
-    base = base.select("_id", F.size("_words").cast("long").alias("n_words"), F.array(*places).alias("_places"), F.when(hit, blocks).alias("_blocks"))
+    base = base.select("_id", spaced_words(F.col("_spaced")).alias("n_words"), F.array(*places).alias("_places"), F.when(hit, blocks).alias("_blocks"))
     base = written(base.withColumn("_row", F.monotonically_increasing_id()))
 
     # block words are in the common order, so a word's place is its rank within the block
