@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import WORD, written
+from lodestrata.llm.common import BLANK, WORD, written
 
 CAP = 3  # times its own size that a source may be taken
 BLOCK = 16  # words of a block
@@ -26,7 +26,8 @@ OWN = ["_size", "_source_size", "_target", "_taken", "_from", "_length", "_shard
 
 
 def size(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words become a letter each, blanks go; counting matches would copy the whole text for every word."""
+    return F.coalesce(F.length(F.translate(F.regexp_replace(text, WORD, "x"), " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
 
 
 def targets(totals: DataFrame, weights=(1, 2, 3), cap: int = CAP) -> DataFrame:
@@ -115,7 +116,8 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     tail = _overlap(F.col("_from"), F.col("_size"), F.col("_start"), rest)
     head = _overlap(F.col("_from"), F.col("_size"), F.col("_start") - F.col("_shard_words"), rest)
     m = m.withColumns({"_laps": laps, "_part": part, "_tail": tail, "_head": head, "_skip": F.greatest(F.col("_start") - F.col("_from"), F.lit(0))})
-    m = m.withColumn("_words", F.when((F.col("_part") > 0) & (F.col("_part") < F.col("_size")), F.regexp_extract_all(F.col(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))))
+    # pieces of blanks and a word; blanks at the end are a piece more, which no cut reaches
+    m = m.withColumn("_words", F.when((F.col("_part") > 0) & (F.col("_part") < F.col("_size")), F.split(F.col(text), rf"(?<!{BLANK})(?={BLANK})")))
     cut = lambda skip, n: F.slice("_words", skip.cast("int") + 1, n.cast("int"))
     piece = F.when(F.col("_part") == F.col("_size"), F.col(text)).otherwise(F.array_join(F.concat(cut(F.lit(0), F.col("_head")), cut(F.col("_skip"), F.col("_tail"))), ""))
     whole = F.array_repeat(F.col(text), F.col("_laps").cast("int"))
