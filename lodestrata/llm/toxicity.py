@@ -16,6 +16,7 @@ of any length are read whole.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from itertools import chain
 
@@ -29,11 +30,13 @@ from lodestrata.llm.common import training_rows, written
 TRAIN_ROWS = 20_000  # labelled documents at most that the weights are fitted on
 CACHE = 400_000  # words a worker keeps
 STEMS = (4, 5, 6, 7)
+COMMON = 0.02  # share of clean documents that a weighed word may be in
 LEAST = 3  # labelled toxic documents that a weighed word must be in
 # fixed values: letters that digits and symbols stand for
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": ""}
 SWAP, DROP, SPLIT = 1.0, 0.7, 0.4  # costs of a substitution, of a dropped symbol, of a dropped repetition
 CLASSES = 64
+THRICE = re.compile(r"(.)\1\1", re.DOTALL).search
 
 
 def classes() -> np.ndarray:
@@ -147,7 +150,7 @@ def stripped(token: str) -> str:
 
 def plain(token: str) -> bool:
     """Letters only and none three times in a row: one path."""
-    return token.isalpha() and not any(a == b == c for a, b, c in zip(token, token[1:], token[2:], strict=False))
+    return token.isalpha() and not THRICE(token)
 
 
 class Restorer:
@@ -157,6 +160,8 @@ class Restorer:
         self.channel, self.memo = Channel(cost), {}
 
     def word(self, token: str) -> str:
+        if token.isalpha() and not THRICE(token):
+            return token
         got = self.memo.get(token)
         if got is None:
             core = stripped(token)
@@ -195,10 +200,13 @@ class Model:
 
     def __init__(self, cost: np.ndarray, weights: dict[str, float], curve: np.ndarray):
         self.cost, self.weights, self.curve = cost, weights, curve
+        self.heads = {f.removesuffix("~")[: STEMS[0]] for f in weights}  # how a word or stem with a weight begins
 
     def evidence(self, words: Counter, memo: dict[str, float]) -> tuple[float, float, float]:
-        found = []
+        found, heads, n = [], self.heads, STEMS[0]
         for w in words:
+            if w[:n] not in heads:
+                continue
             x = memo.get(w)
             if x is None:
                 if len(memo) > CACHE:
@@ -240,16 +248,21 @@ def fit(rows: list[tuple[list[str], int]], cost: np.ndarray) -> Model:
     y = np.array([r[1] for r in rows], float)
 
     def weights(part) -> dict[str, float]:
-        counts = (Counter(), Counter())
-        n = [0, 0]
+        n = [sum(1 for _, label in part if label == k) for k in (0, 1)]
+        toxic: Counter = Counter()
         for words, label in part:
-            n[label] += 1
-            counts[label].update({f for w in words for f in features(w)})
+            if label:
+                toxic.update({f for w in words for f in features(w)})
+        toxic = {f: k for f, k in toxic.items() if k >= min(LEAST, max(2, n[1]))}
+        heads = {f.removesuffix("~")[: STEMS[0]] for f in toxic}
+        clean: Counter = Counter()
+        for words, label in part:
+            if not label:
+                clean.update({f for w in words if w[: STEMS[0]] in heads for f in features(w) if f in toxic})
         out = {}
-        for f, k in counts[1].items():
-            clean = counts[0][f]
-            odds = math.log((k + 0.5) / (n[1] + 1)) - math.log((clean + 0.5) / (n[0] + 1))
-            if k >= min(LEAST, max(2, n[1])) and odds > 2.0 and clean <= 0.02 * n[0]:
+        for f, k in toxic.items():
+            odds = math.log((k + 0.5) / (n[1] + 1)) - math.log((clean[f] + 0.5) / (n[0] + 1))
+            if odds > 2.0 and clean[f] <= COMMON * n[0]:
                 out[f] = odds
         return out
 
@@ -275,13 +288,43 @@ def train(docs: DataFrame, labels: DataFrame, kept: Column, label: str = "toxic"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(r.words(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "y", "words"])
 
-    # only words that can get a weight are sent on: those in LEAST toxic documents, or whose stems are
-    words = training_rows(docs, labels, label, kept, limit).select("doc_id", "y", "text").mapInArrow(restore, "doc_id long, y int, words array<string>")
-    words = written(words)
-    spread = words.withColumn("w", F.explode("words")).select("doc_id", "y", "w", F.expr("concat(array(w), transform(filter(array(%s), n -> char_length(w) >= n), n -> concat(left(w, n), '~')))" % ", ".join(map(str, STEMS))).alias("fs"))
-    toxic = spread.where("y = 1").select("doc_id", F.explode("fs").alias("f")).distinct().groupBy("f").count().where(F.col("count") >= 2).select("f")
-    useful = spread.select("doc_id", "w", F.explode("fs").alias("f")).join(toxic, "f", "left_semi").select("doc_id", "w").distinct().groupBy("doc_id").agg(F.collect_list("w").alias("words"))
-    rows = words.select("doc_id", "y").distinct().join(useful, "doc_id", "left").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").select("words", "y").collect()  # `limit` rows at most
+    words = written(training_rows(docs, labels, label, kept, limit).select("doc_id", "y", "text").mapInArrow(restore, "doc_id long, y int, words array<string>"))
+    n_clean = words.where("y = 0").count()
+
+    def counted(known: set[str] | None):
+        """Features of each batch's documents with the number of these, of known ones only or of all."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                n: Counter = Counter()
+                for ws in batch.column(0).to_pylist():
+                    own = {f for w in ws for f in features(w)}
+                    n.update(own if known is None else own & known)
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["f", "n"])
+
+        return run
+
+    def frequent(y: int, known: set[str] | None, condition: Column) -> set[str]:
+        # features of `limit` documents at most
+        n = words.where(F.col("y") == y).select("words").mapInArrow(counted(known), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+        return {r[0] for r in n.where(condition).select("f").collect()}
+
+    # only words that can get a weight are sent on: with a feature that several toxic documents have and few clean ones
+    # half of them, which `fit` works on, may be fewer than LEAST
+    useful = frequent(1, None, F.col("n") >= (LEAST if words.where("y = 1").count() > 2 * LEAST else 2))
+    useful -= frequent(0, useful, F.col("n") > 2 * COMMON * n_clean)
+
+    def select(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = [[w for w in ws if any(f in useful for f in features(w))] for ws in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "y", "words"])
+
+    chosen = words.mapInArrow(select, words.schema).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "words")
+    rows = chosen.select("words", "y").collect()  # `limit` rows at most
     return fit([(r[0] or [], r[1]) for r in rows], cost)
 
 
