@@ -1,9 +1,11 @@
 """License scans by an exact set-similarity join of text blocks with notice templates, in DataFrame operations only.
 
-A block is a line of a text. It matches a template if it holds at least 4/5 of the template's distinct words. Template words are
+A block is a line of a text, or a run of words across lines, as notices are wrapped: a template is compared with every run of
+twice as many words as it has, so that words put in front of lines, as numbers or comment marks, do no harm. A block
+matches a template if it holds at least 4/5 of the template's distinct words. Template words are
 ordered by their document frequency over all texts, rarest first. A matching block must hold one of a template's rarest
 words (its prefix), so texts without any are left alone; blocks of the others are joined to an index of the prefixes,
-under length and positional filters, and what is left is verified. Only template words of a block are kept, as no others
+under length and positional filters, and what is left is verified. Runs are only looked at round the words of prefixes. Only template words of a block are kept, as no others
 count towards containment. The index has a row for each word of a template's prefix, so it is broadcast.
 
 Beside the join, places are found where a base phrase's words stand one behind the other, in any line or across lines.
@@ -49,6 +51,11 @@ def needed(n: int) -> int:
     return -(-4 * n // 5)
 
 
+def run_length(template: str) -> int:
+    """Words of a run that a template is compared with."""
+    return 2 * len(template.split())
+
+
 def _words(c):
     """Words of a text or line; one empty word, which no template has, if there are none."""
     return F.split(spaced(c, BETWEEN), " ")
@@ -90,8 +97,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
         places.append(F.when(F.contains("_joined", F.lit(f" {phrase} ")), at).otherwise(F.array().cast("array<int>")))
     lines = F.split("_text", "\n")
     blocks = F.filter(F.transform(lines, lambda l, i: F.struct(i.alias("block"), F.array_intersect(ranked, _words(l)).alias("words"))), lambda b: F.size(b["words"]) >= least)
-    hit = F.arrays_overlap("_words", _strings(sorted({p[0] for p in prefixes})))
-    base = base.select("_id", spaced_words(F.col("_spaced")).alias("n_words"), F.array(*places).alias("_places"), F.when(hit, blocks).alias("_blocks"))
+    rare = sorted({p[0] for p in prefixes})
+    hit = F.arrays_overlap("_words", _strings(rare))
+    reach = max(run_length(t) for _, t in templates)
+    anchors = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda x: x["word"].isin(rare))
+    start = lambda x: F.greatest(x["i"] - reach + 1, F.lit(0))
+    near = F.transform(anchors, lambda x: F.struct(x["word"].alias("word"), (x["i"] - start(x)).alias("at"), F.slice("_words", start(x) + 1, x["i"] - start(x) + reach).alias("words")))
+    base = base.select("_id", spaced_words(F.col("_spaced")).alias("n_words"), F.array(*places).alias("_places"), F.when(hit, blocks).alias("_blocks"), F.when(hit, near).alias("_near"))
     base = written(base.withColumn("_row", F.monotonically_increasing_id()))
 
     # block words are in the common order, so a word's place is its rank within the block
@@ -103,7 +115,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     table = spark.createDataFrame([(i, label, ws) for i, label, ws in sets], "template int, label string, own array<string>")
     overlap = F.size(F.array_intersect("words", "own"))
     matches = found.join(F.broadcast(table), "template").where(overlap >= F.col("need")).select("_row", "label", (overlap / F.col("n")).alias("share"))
-    by_row = matches.groupBy("_row").agg(F.collect_set("label").alias("_labels"), F.max("share").alias("_share")).withColumnRenamed("_row", "_of")
+    spans = spark.createDataFrame([(w, label, ws, len(ws), needed(len(ws)), run_length(templates[i][1])) for i, label, ws in sets for w in ws[: len(ws) - needed(len(ws)) + 1]], "word string, label string, own array<string>, n int, need int, length int")
+    close_by = base.where(F.size("_near") > 0).select("_row", F.explode("_near").alias("b")).select("_row", "b.*").join(F.broadcast(spans), "word").where(F.size(F.array_intersect("words", "own")) >= F.col("need"))
+    runs = F.transform(F.sequence(F.greatest(F.col("at") - F.col("length") + 1, F.lit(0)), "at"), lambda i: F.size(F.array_intersect(F.slice("words", i + 1, F.col("length")), "own")))
+    across = close_by.select("_row", "label", "n", "need", F.array_max(runs).alias("o")).where("o >= need").select("_row", "label", (F.col("o") / F.col("n")).alias("share"))
+    by_row = matches.union(across).groupBy("_row").agg(F.collect_set("label").alias("_labels"), F.max("share").alias("_share")).withColumnRenamed("_row", "_of")
 
     starts = F.flatten("_places")
     named = F.array_distinct(F.array_compact(F.array(*[F.when(F.size(F.col("_places")[k]) > 0, label) for k, (_, label) in enumerate(phrases)])))

@@ -126,6 +126,20 @@ def test_licenses_same_as_sql(spark, docs, edge, empty):
     assert got[2].n_words == 0 and got[2].first_word is None and got[2].labels == "" and got[2].score == 0.0
 
 
+def test_licenses_wrapped(spark):
+    """Every notice, wrapped narrowly, behind comment marks and line numbers, far into a text, is found as on one line."""
+    rows = []
+    for i, (_, t) in enumerate(licenses.TEMPLATES):
+        ws = t.split()
+        lines = [" ".join(ws[k : k + 4]) for k in range(0, len(ws), 4)]
+        rows += [(10 * i, t), (10 * i + 1, "\n".join(lines)), (10 * i + 2, "word\n" * 500 + "\n".join(f" * {k} {x}" for k, x in enumerate(lines, 100)) + "\nword" * 500)]
+    rows.append((999, "\n".join("permission granted to any person copy software files deal without restriction associated including".split() * 1 + ["word"] * 80) + "\nobtaining of this and documentation the in charge free hereby"))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[10 * i][0].split(",") and got[10 * i] == got[10 * i + 1] == got[10 * i + 2], (label, got[10 * i], got[10 * i + 1], got[10 * i + 2])
+    assert got[999] == ("", 0.0)  # words far apart are no notice
+
+
 def brute_targets(sizes, weights=(1, 2, 3), cap=3):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
