@@ -2,8 +2,9 @@
 
 Disguised spellings (digits and symbols for letters, letters set apart, letters repeated) are read as the output of a
 channel. A token's lattice offers, for each character, the letters it may stand for, or nothing, at a cost; the path that
-is cheapest under the channel and a character trigram model is the restored word. A plain token has a lattice of one path
-and is its own restoration. The trigram model counts every character of every document (its table has a fixed size).
+is cheapest under the channel and a character trigram model is the restored word. A token of letters only, none twice in a
+row, has a lattice of one path and is its own restoration. A token of letters that is restored to another word, as letter
+may be to leter, counts by the better of both spellings. The trigram model counts every character of every document (its table has a fixed size).
 
 Weights are log odds of restored words, and of their first 4 to 7 letters, among labelled documents; a document's
 evidence (its largest weight, the sum of its five largest, and their number) goes through a fitted logistic curve.
@@ -36,7 +37,7 @@ LEAST = 3  # labelled toxic documents that a weighed word must be in
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": ""}
 SWAP, DROP, SPLIT = 1.0, 0.7, 0.4  # costs of a substitution, of a dropped symbol, of a dropped repetition
 CLASSES = 64
-THRICE = re.compile(r"(.)\1\1", re.DOTALL).search
+TWICE = re.compile(r"(.)\1", re.DOTALL).search
 
 
 def classes() -> np.ndarray:
@@ -149,8 +150,8 @@ def stripped(token: str) -> str:
 
 
 def plain(token: str) -> bool:
-    """Letters only and none three times in a row: one path."""
-    return token.isalpha() and not THRICE(token)
+    """Letters only and none twice in a row: one path."""
+    return token.isalpha() and not TWICE(token)
 
 
 class Restorer:
@@ -160,12 +161,19 @@ class Restorer:
         self.channel, self.memo = Channel(cost), {}
 
     def word(self, token: str) -> str:
-        if token.isalpha() and not THRICE(token):
+        """The restored word alone."""
+        return self.readings(token).partition(" ")[0]
+
+    def readings(self, token: str) -> str:
+        """The restored word, and behind a space the token's own letters if they are others."""
+        if token.isalpha() and not TWICE(token):
             return token
         got = self.memo.get(token)
         if got is None:
             core = stripped(token)
             got = core if plain(core) or not any(map(str.isalpha, core)) and not any(c in LEET for c in core) else self.channel.decode(core)
+            if got != core and core.isalpha():
+                got = f"{got} {core}"
             if len(self.memo) > CACHE:
                 self.memo.clear()
             self.memo[token] = got
@@ -177,7 +185,7 @@ class Restorer:
         found = Counter(tokens)
         out: Counter = Counter()
         for t, n in found.items():
-            if w := self.word(t):
+            if w := self.readings(t):
                 out[w] += n
         if any(len(t) == 1 for t in found):
             run: list[str] = []
@@ -185,14 +193,20 @@ class Restorer:
                 if len(t) == 1:
                     run.append(t)
                 else:
-                    if len(run) > 2 and (w := self.word("".join(run))):
+                    if len(run) > 2 and (w := self.readings("".join(run))):
                         out[w] += 1
                     run = []
         return out
 
 
-def features(word: str) -> list[str]:
-    return [word, *[word[:n] + "~" for n in STEMS if len(word) >= n]]
+def features(readings: str) -> list[str]:
+    return [f for word in readings.split(" ") for f in (word, *[word[:n] + "~" for n in STEMS if len(word) >= n])]
+
+
+def begins(readings: str, heads: set[str]) -> bool:
+    """Whether a reading begins with one of the heads."""
+    n = STEMS[0]
+    return readings[:n] in heads or " " in readings and any(w[:n] in heads for w in readings.split(" "))
 
 
 class Model:
@@ -203,9 +217,9 @@ class Model:
         self.heads = {f.removesuffix("~")[: STEMS[0]] for f in weights}  # how a word or stem with a weight begins
 
     def evidence(self, words: Counter, memo: dict[str, float]) -> tuple[float, float, float]:
-        found, heads, n = [], self.heads, STEMS[0]
+        found, heads = [], self.heads
         for w in words:
-            if w[:n] not in heads:
+            if not begins(w, heads):
                 continue
             x = memo.get(w)
             if x is None:
@@ -258,7 +272,7 @@ def fit(rows: list[tuple[list[str], int]], cost: np.ndarray) -> Model:
         clean: Counter = Counter()
         for words, label in part:
             if not label:
-                clean.update({f for w in words if w[: STEMS[0]] in heads for f in features(w) if f in toxic})
+                clean.update({f for w in words if begins(w, heads) for f in features(w) if f in toxic})
         out = {}
         for f, k in toxic.items():
             odds = math.log((k + 0.5) / (n[1] + 1)) - math.log((clean[f] + 0.5) / (n[0] + 1))

@@ -219,6 +219,17 @@ def test_restoring(spark):
     assert r.words("you i d i o t !")["idiot"] == 1
 
 
+def test_restoring_doubled(spark):
+    cost = toxicity.costs(toxicity.trigram_counts(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")))
+    r = toxicity.Restorer(cost)
+    doubled = {"iddiot": "idiot", "stuupid": "stupid", "traash": "trash", "morron": "moron", "scuum": "scum", "patthetic": "pathetic", "losser": "loser"}
+    assert {w: r.word(w) for w in doubled} == doubled
+    # a spelling that has the letters twice stays known by itself, and counts once
+    assert "letter" in toxicity.features(next(iter(r.words("letter"))))
+    m = toxicity.Model(cost, {"letter": 3.0, "leter": 3.0, "idiot": 4.0}, np.zeros(4))
+    assert m.evidence(r.words("letter"), {}) == (3.0, 3.0, math.log1p(1)) and m.evidence(r.words("an iddiot"), {})[0] == 4.0
+
+
 def test_html(spark):
     pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet")
     got = {r.page_id: r for r in html.extract(pages, ["page_id", "url"]).collect()}
