@@ -4,7 +4,9 @@ Disguised spellings (digits and symbols for letters, letters set apart, letters
 channel. A token's lattice offers, for each character, the letters it may stand for, or nothing, at a cost; the path that
 is cheapest under the channel and a character trigram model is the restored word. A token of letters only, none twice in a
 row, has a lattice of one path and is its own restoration. A token of letters that is restored to another word, as letter
-may be to leter, counts by the better of both spellings. The trigram model counts every character of every document (its table has a fixed size).
+may be to leter, counts by the better of both spellings; so does one with a symbol at its ends that may be a letter or none.
+Of neighbouring short tokens every succession is read as one word too, if that is no dearer than reading them apart, or if
+they are three or more single characters. The trigram model counts every character of every document (its table has a fixed size).
 
 Weights are log odds of restored words, and of their first 4 to 7 letters, among labelled documents; a document's
 evidence (its largest weight, the sum of its five largest, and their number) goes through a fitted logistic curve.
@@ -19,7 +21,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,12 +31,15 @@ from lodestrata.llm.common import training_rows, written
 
 TRAIN_ROWS = 20_000  # labelled documents at most that the weights are fitted on
 CACHE = 400_000  # words a worker keeps
+SHORT, END = 3, 5  # characters of a token that may be a piece of a word, and of the last piece
+LONGEST = 24  # characters of a word put together from pieces
 STEMS = (4, 5, 6, 7)
 COMMON = 0.02  # share of clean documents that a weighed word may be in
 LEAST = 3  # labelled toxic documents that a weighed word must be in
 # fixed values: letters that digits and symbols stand for
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": ""}
-SWAP, DROP, SPLIT = 1.0, 0.7, 0.4  # costs of a substitution, of a dropped symbol, of a dropped repetition
+SWAP, DROP, SPLIT, JOIN = 1.0, 0.7, 0.4, 0.4  # costs of a substitution, of a dropped symbol, repetition or boundary
+FRONT, TAIL = "".join(c for c, x in LEET.items() if x and not c.isdigit()), "$+|<(€£"  # symbols that may be letters at a token's ends
 CLASSES = 64
 TWICE = re.compile(r"(.)\1", re.DOTALL).search
 
@@ -112,7 +116,11 @@ class Channel:
         return out
 
     def decode(self, token: str) -> str:
-        """The cheapest reading of a token; states are the last two letters read."""
+        """The cheapest reading of a token."""
+        return self.best(token)[1]
+
+    def best(self, token: str) -> tuple[float, str]:
+        """The cost and letters of the cheapest reading of a token; states are the last two letters read."""
         code, cost = self.code, self.cost
         best = {("", ""): (0.0, None)}
         trail = []
@@ -127,23 +135,36 @@ class Channel:
             trail.append(new)
             best = new
         state = min(best, key=lambda s: (best[s][0] + cost[code.get(s[0], 0)][code.get(s[1], 0)][0], s))
-        out = []
+        a, b = state
+        out, total = [], best[state][0] + cost[code.get(a, 0)][code.get(b, 0)][0]
         for step in reversed(trail):
             state, c = step[state][1]
             out.append(c)
-        return "".join(reversed(out))
+        return total, "".join(reversed(out))
+
+    def plain(self, token: str) -> float:
+        """The cost of a token as it is."""
+        code, cost, a, b, total = self.code, self.cost, 0, 0, 0.0
+        for c in token:
+            c = code.get(c, 0)
+            total += cost[a][b][c]
+            a, b = b, c
+        return total + cost[a][b][0]
 
 
 def stripped(token: str) -> str:
-    """Without symbols around it; $ and @ in front of a letter or digit, and one or two $ behind one, may be letters."""
+    """Without symbols around it, but for those that may be letters: in front of a token with a letter all from the first of
+    FRONT on, in front of digits one $ or @, behind it one or two of TAIL."""
     a, b = 0, len(token)
     while a < b and not token[a].isalnum():
         a += 1
     while b > a and not token[b - 1].isalnum():
         b -= 1
-    if a and token[a - 1] in "@$" and (a == 1 or token[a - 2] != token[a - 1]):
+    if any(map(str.isalpha, token[a:b])):
+        a = next((i for i in range(a) if token[i] in FRONT), a)
+    elif a and token[a - 1] in "@$" and (a == 1 or token[a - 2] != token[a - 1]):
         a -= 1
-    tail = len(token) - b - len(token[b:].lstrip("$"))
+    tail = len(token) - b - len(token[b:].lstrip(TAIL))
     if 0 < tail < 3:
         b += tail
     return token[a:b]
@@ -158,44 +179,74 @@ class Restorer:
     """Restores lower-cased tokens; remembers a bounded number of them."""
 
     def __init__(self, cost: np.ndarray):
-        self.channel, self.memo = Channel(cost), {}
+        self.channel, self.memo, self.prices, self.runs = Channel(cost), {}, {}, {}
 
     def word(self, token: str) -> str:
         """The restored word alone."""
         return self.readings(token).partition(" ")[0]
 
     def readings(self, token: str) -> str:
-        """The restored word, and behind a space the token's own letters if they are others."""
+        """The restored word, and behind it, after spaces, the token's own letters and those with a symbol at an end read as
+        a letter, if they are others."""
         if token.isalpha() and not TWICE(token):
             return token
         got = self.memo.get(token)
         if got is None:
             core = stripped(token)
             got = core if plain(core) or not any(map(str.isalpha, core)) and not any(c in LEET for c in core) else self.channel.decode(core)
-            if got != core and core.isalpha():
-                got = f"{got} {core}"
+            own = core.lstrip(FRONT).rstrip(TAIL)
+            others = [own] if own.isalpha() else []
+            front, tail = core[: len(core) - len(core.lstrip(FRONT))], core[len(core.rstrip(TAIL)) :]
+            if own:
+                others += [self.channel.decode(x + core[len(front) :]) for c in dict.fromkeys(front) for x in LEET.get(c, "")]
+                others += [self.channel.decode(core[: len(core) - len(tail)] + x) for c in dict.fromkeys(tail) for x in LEET.get(c, "")]
+            got = " ".join(dict.fromkeys(w for w in (got, *others) if w))
             if len(self.memo) > CACHE:
                 self.memo.clear()
             self.memo[token] = got
         return got
 
-    def words(self, text: str | None) -> Counter:
-        """The restored words of a text: of each token, and of each run of three or more single characters together."""
+    def price(self, token: str) -> float:
+        """The cost of a token's cheapest reading."""
+        got = self.prices.get(token)
+        if got is None:
+            if len(self.prices) > CACHE:
+                self.prices.clear()
+            got = self.prices[token] = self.channel.plain(token) if plain(token) else self.channel.best(token)[0]
+        return got
+
+    def joined(self, run: tuple[str, ...]) -> list[str]:
+        """The words that tokens of a run make with those behind the first: see above."""
+        got = self.runs.get(run)
+        if got is None:
+            word, apart, got = run[0], self.price(run[0]), []
+            for k, piece in enumerate(run[1:], 1):
+                word, apart = word + piece, apart + self.price(piece)
+                if len(word) == k + 1 > 2 or self.price(word) + JOIN * k <= apart:
+                    got.append(self.readings(word))
+            if len(self.runs) > CACHE:
+                self.runs.clear()
+            got = self.runs[run] = list(dict.fromkeys(filter(None, got)))
+        return got
+
+    def words(self, text: str | None, together: bool = False) -> Counter:
+        """The restored words of a text: of each token, and of short neighbouring tokens. `together` makes one item, which
+        counts once, of all words that begin with the same of these tokens."""
         tokens = (text or "").lower().split()
         found = Counter(tokens)
         out: Counter = Counter()
         for t, n in found.items():
             if w := self.readings(t):
                 out[w] += n
-        if any(len(t) == 1 for t in found):
-            run: list[str] = []
-            for t in chain(tokens, ("  ",)):
-                if len(t) == 1:
-                    run.append(t)
-                else:
-                    if len(run) > 2 and (w := self.readings("".join(run))):
-                        out[w] += 1
-                    run = []
+        sizes = list(map(len, tokens))
+        for i in range(len(tokens) - 1):
+            if sizes[i] <= SHORT and sizes[i + 1] <= END:
+                j, size = i + 1, sizes[i]
+                while j < len(tokens) and sizes[j] <= END and sizes[j - 1] <= SHORT and size + sizes[j] <= LONGEST:
+                    size += sizes[j]
+                    j += 1
+                if got := self.joined(tuple(tokens[i:j])):
+                    out.update([" ".join(got)] if together else got)
         return out
 
 
@@ -300,7 +351,7 @@ def train(docs: DataFrame, labels: DataFrame, kept: Column, label: str = "toxic"
 
         r = Restorer(cost)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(r.words(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(r.words(t, True)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "y", "words"])
 
     words = written(training_rows(docs, labels, label, kept, limit).select("doc_id", "y", "text").mapInArrow(restore, "doc_id long, y int, words array<string>"))
     n_clean = words.where("y = 0").count()
@@ -334,7 +385,8 @@ def train(docs: DataFrame, labels: DataFrame, kept: Column, label: str = "toxic"
         import pyarrow as pa
 
         for batch in batches:
-            own = [[w for w in ws if any(f in useful for f in features(w))] for ws in batch.column(2).to_pylist()]
+            known = lambda w: any(f in useful for f in features(w))
+            own = [[" ".join(filter(known, w.split(" "))) for w in ws if known(w)] for ws in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "y", "words"])
 
     chosen = words.mapInArrow(select, words.schema).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "words")
@@ -353,7 +405,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         m = shipped.value
         r, memo = Restorer(m.cost), {}
         for batch in batches:
-            scores = [m.score(m.evidence(r.words(t), memo)) for t in batch.column(at).to_pylist()]
+            scores = [m.score(m.evidence(r.words(t, True), memo)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     own = docs.select(*keep, *([docs[text].alias("_text")] if text not in keep else []))

@@ -230,6 +230,17 @@ def test_restoring_doubled(spark):
     assert m.evidence(r.words("letter"), {}) == (3.0, 3.0, math.log1p(1)) and m.evidence(r.words("an iddiot"), {})[0] == 4.0
 
 
+def test_restoring_spaced(spark):
+    cost = toxicity.costs(toxicity.trigram_counts(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")))
+    r, m = toxicity.Restorer(cost), toxicity.Model(cost, {"idiot": 4.0, "stupid": 4.0, "loser": 4.0}, np.zeros(4))
+    spaced = {"you are a s t u p i d": "stupid", "I i d i o t": "idiot", "a st up id man": "stupid", "an id iot": "idiot", "stu pid": "stupid", "i d i o t l o s e r": "idiot loser", "l 0 s e r": "loser", "!diot": "idiot", "you (!diot": "idiot", "s t u p i d !diot": "stupid idiot", "i d l e r it is (loud)": ""}
+    for text, want in spaced.items():
+        restored = {w for readings in r.words(text) for w in readings.split(" ")}
+        assert restored & set(m.weights) == set(want.split()), text
+        most, _, n = m.evidence(r.words(text, True), {})
+        assert most == (4.0 if want else 0.0) and n >= math.log1p(len(want.split())), text
+
+
 def test_html(spark):
     pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet")
     got = {r.page_id: r for r in html.extract(pages, ["page_id", "url"]).collect()}
