@@ -8,7 +8,7 @@ to shard of a task. Tasks send k results a query, and the k best of these are th
 a slack for rounding, so nothing that ties is lost; equal scores go by doc_id.
 
 Queries are worked on in blocks of about QUERY_WORDS words, whatever their number; a block is what is broadcast. A query is a
-text, and each of its distinct words counts once. Words are runs of ASCII letters and digits and non-ASCII characters,
+text, and each of its distinct words counts once; rows of one query_id are one query, of the words of all of them. Words are runs of ASCII letters and digits and non-ASCII characters,
 lower-cased in A-Z, told apart by 64-bit hashes.
 
 Nulls are empty texts: they match nothing, and count as texts of length 0. Queries without words have no results. Repeated
@@ -127,6 +127,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, doc_id: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["q", "terms"])
 
     asked = written(queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_text).cast("binary").alias("t")).mapInArrow(cut, "q long, terms binary").where(F.octet_length("terms") > 0))
+    asked = _one_each(asked)
     total = (asked.agg(F.sum(F.octet_length("terms"))).first()[0] or 0) / 8
     blocks = max(1, -(-int(total) // query_words))
     source = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("binary").alias("t"))
@@ -139,6 +140,23 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, doc_id: str = "doc_i
     return ranked.select(F.col("q").alias(query_id), "rank", F.col("d").alias(doc_id), "score")
 
 
+def _one_each(asked: DataFrame) -> DataFrame:
+    """One row for each q, with the distinct words of all its rows; `asked` itself if it has no other."""
+    again = asked.groupBy("q").count().where("count > 1").select(F.col("q").alias("_q"))
+    if again.isEmpty():
+        return asked
+
+    def merge(key, table):
+        import pyarrow as pa
+
+        h = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("terms")]))
+        return pa.table({"q": pa.array([key[0].as_py()], pa.int64()), "terms": pa.array([h.tobytes()], pa.binary())})
+
+    same = asked["q"].eqNullSafe(again["_q"])
+    merged = asked.join(again, same, "left_semi").distinct().groupBy("q").applyInArrow(merge, "q long, terms binary")
+    return written(asked.join(again, same, "left_anti").union(merged))
+
+
 def _block(source: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     spark = source.sparkSession
     rows = asked.toPandas()  # QUERY_WORDS words or so

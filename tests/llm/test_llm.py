@@ -364,6 +364,18 @@ def test_search_edges(spark, edge, empty):
     assert got == [6]
 
 
+def test_search_repeated_queries(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    (a, x), (b, y), (c, z) = [r for r in rows if r[1]][:3]
+    # a twice alike, b with two texts
+    asked = spark.createDataFrame([(a, x), (a, x), (b, y), (b, z), (c, z)], "query_id long, query_text string")
+    got = collections.defaultdict(list)
+    for r in sorted(search.search(docs, asked).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.rank, r.doc_id))
+    for q, want in brute_search(rows, [(a, x), (b, f"{y} {z}"), (c, z)], search.K).items():
+        assert got[q] == [(i, d) for i, (_, d) in enumerate(want, 1)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
