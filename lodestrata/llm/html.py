@@ -19,7 +19,7 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "canvas", "object", "math"}
+RAW = {"script", "style", "template", "textarea", "svg", "iframe"}
 BREAKS = set("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HOLDS = set("article aside blockquote body button details dialog div dl fieldset figure footer form head header html li main menu nav ol section select span table td title ul a".split())
 BOILER_TAGS = set("nav header footer aside form button select dialog menu head title".split())

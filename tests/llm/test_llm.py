@@ -254,6 +254,11 @@ def test_html(spark):
     assert html.main_text("<!-- open") == "" and isinstance(html.main_text("<p" + ">x<" * 5), str)
 
 
+def test_html_keeps_what_is_inside():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold, and <object data=a.swf>the <b>fallback</b></object> too, <canvas>a chart</canvas> and <noscript>no script</noscript> end.</p></article>"
+    assert html.main_text(page).replace(" ", "") == "Letx=2hold,andthefallbacktoo,achartandnoscriptend."
+
+
 def brute_winnow(text, k, w):
     grams = [text[i : i + k] for i in range(len(text) - k + 1)] or ([text] if text else [])
     return grams, max(1, len(grams) - w + 1) if grams else 0
