@@ -432,18 +432,29 @@ def members(docs: DataFrame, doc_id: str, text: str, extra: list[str]) -> DataFr
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without those that have a link to, or through, a smaller doc_id. Of repeated rows (equal id and
-    text) one stays; rows with a null doc_id can't be told apart and all stay."""
-    rows = written(join(docs, doc_id, text))
-    gone = rows.where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct()
-    kept = docs.join(small(written(gone)), doc_id, "left_anti").select(*docs.columns)
-    if rows.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
-        return kept
+    text) one stays; of rows with one id and different texts each goes or stays for itself; rows with a null doc_id can't be
+    told apart and all stay."""
+    rows = written(_joined(docs, doc_id, text))
+    gone = rows.where(F.col(doc_id) != F.col("component_id"))
+    repeated = written(rows.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").select(doc_id))
+    if repeated.isEmpty():
+        return docs.join(small(written(gone.select(doc_id).distinct())), doc_id, "left_anti").select(*docs.columns)
+    # only rows with a repeated id must be told apart by their sets
+    single = docs.join(small(written(gone.join(small(repeated), doc_id, "left_anti").select(doc_id).distinct())), doc_id, "left_anti").join(small(repeated), doc_id, "left_anti")
+    several = members(docs.join(small(repeated), doc_id, "left_semi"), doc_id, text, [c for c in docs.columns if c != doc_id])
+    several = several.join(written(gone.join(small(repeated), doc_id, "left_semi").select(doc_id, "node").distinct()), [doc_id, "node"], "left_anti")
+    kept = single.select(*docs.columns).union(several.select(*docs.columns))
     marked = kept.withColumn("_same", F.xxhash64(F.coalesce(text, F.lit(""))))
     return marked.where(F.col(doc_id).isNull()).union(marked.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, "_same"])).drop("_same").select(*docs.columns)
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of docs."""
+    return _joined(docs, doc_id, text).drop("node")
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The same with the node of each row's set; null for an empty set."""
     found = written(candidates(index(docs, text, frequent(docs, text))))
     stars = written(found.where("kind = 2").select("a", "b").distinct())
     entries = found.where("kind = 1").select("token", F.col("a").alias("node"), "n", "pos")
@@ -460,4 +471,4 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     least = ids.groupBy("component").agg(F.min("_id").alias("component_id"))
     by_node = ids.join(least, "component").select(F.col("node").alias("_node"), "component_id")
     joined = rows.join(by_node, rows["node"] == by_node["_node"], "left")
-    return joined.select(doc_id, "n_shingles", F.when(F.col("node").isNull(), F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"))
+    return joined.select(doc_id, "n_shingles", "node", F.when(F.col("node").isNull(), F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id"))

@@ -99,6 +99,15 @@ def test_jaccard_empty_and_deduplicate(spark, empty, edge):
     assert {1, 2, 3, 4, 6, 7, 8} <= {d for d, _ in kept}
 
 
+def test_deduplicate_tells_rows_of_one_id_apart(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue white black grey")
+    # id 5 goes for text a, which 1 has, but not for c, nor for b, whose least id it is; 7 goes for b
+    rows = [(1, a, 10), (5, a, 20), (5, b, 30), (5, c, 40), (5, c, 40), (7, b, 50), (8, "x y z", 60), (None, a, 70)]
+    got = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, n long"))
+    assert got.columns == ["doc_id", "text", "n"]
+    assert sorted(r.n for r in got.collect()) == [10, 30, 40, 60, 70]
+
+
 def test_components_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
