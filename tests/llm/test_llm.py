@@ -315,6 +315,18 @@ def test_quotes(spark):
     assert quotes.conversations(df.limit(0)).collect() == []
 
 
+def test_quotes_of_parts_and_of_nothing(spark):
+    m = [
+        (1, 0, "u", "First of all, a long line. The part that counts! And more.\n\nNext paragraph here\nis wrapped."), (1, 1, "a", "Something else."),
+        (1, 2, "u", "> The part that\n> counts!\nYes."), (1, 3, "a", "> next paragraph\n> here is\n> wrapped.\nAgreed."),
+        (1, 4, "u", "> a saying from outside\n\nSee:\n>>> print(1)\n1\n> Something else.\nDone."), (1, 5, "a", "> The part that counts! And\n> more.\nTwo sentences."),
+    ]
+    got = {r.turn: r for r in quotes.thread(spark.createDataFrame(m, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[t].reply_to for t in range(6)] == [None, None, 0, 0, 1, 0]
+    assert (got[2].body, got[3].body, got[5].body) == ("Yes.", "Agreed.", "Two sentences.")
+    assert got[4].body == "> a saying from outside\n\nSee:\n>>> print(1)\n1\nDone." and (got[4].n_quotes, got[4].n_linked) == (3, 1)
+
+
 def test_chats_whole_table(spark):
     rows = spark.read.parquet(f"{DIR}/conversations.parquet").collect()
     want = collections.defaultdict(list)
