@@ -1,4 +1,4 @@
-"""Exact top-k BM25 search: an inverted index for each shard, block-max WAND pruning, and an exact merge.
+"""Exact top-k BM25 search: an inverted index for each shard, block-max pruning (not WAND: blocks by bound, no pivots), and an exact merge.
 
 Statistics are global: a first pass counts the texts, their words, and in how many texts each query word is. A second pass builds,
 for each run of SHARD texts, postings of the query words in order of the texts, in blocks of BLOCK texts with the largest
