@@ -8,6 +8,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: ASCII white space, as a class for Java and Python patterns: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,10 +65,24 @@ def remainder_of(doc_id, n: int) -> int:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, kept: Column, limit: int) -> DataFrame:
-    """(text, y) of at most `limit` labelled documents: the first in the order of a hash of doc_id, which every run and
-    every partitioning repeats. The chosen ids are `limit` at most, so they may be broadcast."""
+    """(doc_id, text, y) of at most `limit` labelled documents: the first in the order of a hash of doc_id, which every run and
+    every partitioning repeats; of rows with one doc_id that whose text has the least hash. The chosen ids are `limit` at
+    most, so they may be broadcast."""
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & kept)
     chosen = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(limit)
-    rows = chosen.collect()
-    ids = docs.sparkSession.createDataFrame(rows, "doc_id long, y int")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    ids = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores in front until no column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_score(df: DataFrame, keep: int, name: str) -> StructType:
+    """The schema of the first columns and a score."""
+    return StructType([*df.schema.fields[:keep], StructField(name, DoubleType())])

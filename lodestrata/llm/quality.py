@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernel
-from lodestrata.llm.common import training_rows
+from lodestrata.llm.common import fresh, training_rows, with_score
 
 TRAIN_ROWS = 20_000  # labelled documents at most
 BINS, CYCLES, PAIRS, PAIR_CYCLES, RATE = 32, 60, 6, 30, 0.15
@@ -186,16 +186,19 @@ def train(docs: DataFrame, labels: DataFrame, kept: Column, label: str = "qualit
     def run(batches):
         import pyarrow as pa
 
-        for (ids, y), x in _features(batches, 2):
-            yield pa.RecordBatch.from_arrays([ids, y, pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+        for (y,), x in _features(batches, 1):
+            yield pa.RecordBatch.from_arrays([y, pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = training_rows(docs, labels, label, kept, limit).select("doc_id", "y", F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, y int, x array<double>").collect()  # `limit` rows at most
-    rows.sort(key=lambda r: (r[0], r[2]))
-    return fit(np.array([r[2] for r in rows]).reshape(-1, len(NAMES)), np.array([r[1] for r in rows], float))
+    rows = training_rows(docs, labels, label, kept, limit).select("y", F.col("text").cast("binary").alias("t"))
+    found = rows.mapInArrow(run, "y int, x array<double>").toArrow()  # `limit` rows at most
+    x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)) if len(found) else np.zeros((0, len(NAMES)))
+    y = found["y"].to_numpy().astype(float)
+    order = np.lexsort((y, *x.T))
+    return fit(x[order], y[order])
 
 
-def score(docs: DataFrame, model: Additive, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns and `score`, 0 to 1."""
+def score(docs: DataFrame, model: Additive, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The kept columns and a column of scores, 0 to 1."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = keep.index(text) if text in keep else len(keep)
 
@@ -203,7 +206,7 @@ def score(docs: DataFrame, model: Additive, keep: list[str], text: str = "text")
         import pyarrow as pa
 
         for columns, x in _features(batches, len(keep), at):
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(shipped.value.score(x), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shipped.value.score(x), pa.float64())], names=[*keep, name])
 
-    own = docs.select(*keep, *([docs[text].cast("binary").alias("_text")] if text not in keep else []))
-    return own.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)]] + ["score double"]))
+    own = docs.select(*keep, *([docs[text].cast("binary").alias(fresh(keep, "_text"))] if text not in keep else []))
+    return own.mapInArrow(run, with_score(own, len(keep), name))

@@ -12,8 +12,9 @@ Weights are log odds of restored words, and of their first 4 to 7 letters, among
 evidence (its largest weight, the sum of its five largest, and their number) goes through a fitted logistic curve.
 
 Nulls and empty texts have no evidence and get the score of the curve's origin, below 0.5 unless most labelled texts are
-toxic. Without any labelled toxic row nothing is toxic. Repeated rows are scored alike; other columns are not read. Texts
-of any length are read whole.
+toxic. Without any labelled toxic row, as with empty tables, nothing is toxic. Repeated rows are scored alike, and a repeated
+doc_id is trained on once. Other columns are kept as they are, whatever their names, and not read. Texts of any length are
+read whole.
 """
 
 from __future__ import annotations
@@ -21,15 +22,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernel
-from lodestrata.llm.common import training_rows, written
+from lodestrata.llm.common import fresh, training_rows, with_score, written
 
 TRAIN_ROWS = 20_000  # labelled documents at most that the weights are fitted on
+MOST = 100_000  # features at most that have a weight, the strongest
+CHUNK = 512  # documents whose features are counted together
 CACHE = 400_000  # words a worker keeps
 SHORT, END = 3, 5  # characters of a token that may be a piece of a word, and of the last piece
 LONGEST = 24  # characters of a word put together from pieces
@@ -74,8 +78,8 @@ def trigram_counts(texts: DataFrame, text: str = "text") -> np.ndarray:
 
     counts = texts.select(F.col(text).cast("binary").alias("t")).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     out = np.zeros(CLASSES**3)
-    for g, n in counts.collect():  # 64**3 rows at most
-        out[g] = n
+    found = counts.toArrow()  # 64**3 rows of two numbers at most
+    out[found["g"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -267,7 +271,7 @@ class Model:
         self.cost, self.weights, self.curve = cost, weights, curve
         self.heads = {f.removesuffix("~")[: STEMS[0]] for f in weights}  # how a word or stem with a weight begins
 
-    def evidence(self, words: Counter, memo: dict[str, float]) -> tuple[float, float, float]:
+    def evidence(self, words: Iterable[str], memo: dict[str, float]) -> tuple[float, float, float]:
         found, heads = [], self.heads
         for w in words:
             if not begins(w, heads):
@@ -304,98 +308,93 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[list[str], int]], cost: np.ndarray) -> Model:
-    """rows: the restored words of each labelled document, and its label.
+def log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """A feature's weight from the numbers of documents that have it; null for a rare, common or weak one."""
+    odds = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
+    return F.when((toxic >= min(LEAST, max(2, n_toxic))) & (clean <= COMMON * n_clean) & (odds > 2.0), odds)
 
-    Weights come from one half of the rows and the curve from the other, and the other way round, so that the curve meets
-    weights that haven't seen its rows; the final weights come from all.
+
+def weigh(words: DataFrame) -> list[dict[str, float]]:
+    """words: (y, half, words). Weights of features by half 0, by half 1, and by all rows.
+
+    Documents are counted by feature, label and half in Spark; toxic ones first, so that of the clean ones only features are
+    counted that begin like one of those. Only features with a weight come to the driver, MOST at most.
     """
-    y = np.array([r[1] for r in rows], float)
-
-    def weights(part) -> dict[str, float]:
-        n = [sum(1 for _, label in part if label == k) for k in (0, 1)]
-        toxic: Counter = Counter()
-        for words, label in part:
-            if label:
-                toxic.update({f for w in words for f in features(w)})
-        toxic = {f: k for f, k in toxic.items() if k >= min(LEAST, max(2, n[1]))}
-        heads = {f.removesuffix("~")[: STEMS[0]] for f in toxic}
-        clean: Counter = Counter()
-        for words, label in part:
-            if not label:
-                clean.update({f for w in words if begins(w, heads) for f in features(w) if f in toxic})
-        out = {}
-        for f, k in toxic.items():
-            odds = math.log((k + 0.5) / (n[1] + 1)) - math.log((clean[f] + 0.5) / (n[0] + 1))
-            if odds > 2.0 and clean[f] <= COMMON * n[0]:
-                out[f] = odds
-        return out
+    n = {(r["y"], r["half"]): r["count"] for r in words.groupBy("y", "half").count().collect()}  # four rows
+    n_toxic, n_clean = ([n.get((y, half), 0) for half in (0, 1)] for y in (1, 0))
 
-    if not y.any() or len(y) < 4:
-        return Model(cost, {}, np.array([-5.0, 0, 0, 0]))
-    halves = [rows[0::2], rows[1::2]]
-    x, t = [], []
-    for fitted, other in (halves, halves[::-1]):
-        m, memo = Model(cost, weights(fitted), np.zeros(4)), {}
-        x += [m.evidence(Counter(dict.fromkeys(words, 1)), memo) for words, _ in other]
-        t += [label for _, label in other]
-    return Model(cost, weights(rows), logistic(np.array(x), np.array(t, float)))
+    def counted(heads: set[str] | None):
+        def run(batches):
+            import pyarrow as pa
 
+            for whole in batches:
+                for at in range(0, len(whole), CHUNK):
+                    batch = whole.slice(at, CHUNK)
+                    tally: tuple[Counter, Counter] = (Counter(), Counter())
+                    for half, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                        tally[half].update({f for w in ws if heads is None or begins(w, heads) for f in features(w)})
+                    names = list(tally[0] | tally[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([t[f] for f in names], pa.int64()) for t in tally]], names=["f", "a", "b"])
 
-def train(docs: DataFrame, labels: DataFrame, kept: Column, label: str = "toxic", limit: int = TRAIN_ROWS) -> Model:
-    """docs: doc_id and text; all texts feed the trigram model, and `limit` labelled ones at most the weights."""
-    cost = costs(trigram_counts(docs))
+        return run
 
-    def restore(batches):
-        import pyarrow as pa
+    def counts(y: int, heads: set[str] | None = None) -> DataFrame:
+        return words.where(F.col("y") == y).select("half", "words").mapInArrow(counted(heads), "f string, a long, b long")
 
-        r = Restorer(cost)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(r.words(t, True)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "y", "words"])
+    sums = lambda df, a, b: df.groupBy("f").agg(F.sum("a").alias(a), F.sum("b").alias(b))
+    toxic = written(sums(counts(1), "t0", "t1").where(F.col("t0") + F.col("t1") >= min(LEAST, max(2, min(n_toxic)))))
+    heads = {r[0] for r in toxic.select(F.left(F.regexp_replace("f", "~$", ""), F.lit(STEMS[0]))).distinct().collect()}  # of four letters
+    clean = sums(counts(0, heads).join(toxic.select("f"), "f", "left_semi"), "c0", "c1")
+    t0, t1, c0, c1 = (F.coalesce(c, F.lit(0)) for c in ("t0", "t1", "c0", "c1"))
+    found = toxic.join(clean, "f", "left").select("f", log_odds(t0, c0, n_toxic[0], n_clean[0]).alias("w0"), log_odds(t1, c1, n_toxic[1], n_clean[1]).alias("w1"), log_odds(t0 + t1, c0 + c1, sum(n_toxic), sum(n_clean)).alias("w"))
+    found = found.where("w0 IS NOT NULL OR w1 IS NOT NULL OR w IS NOT NULL").orderBy(F.greatest("w", "w0", "w1").desc(), "f").limit(MOST).toArrow()
+    return [{f: w for f, w in zip(found["f"].to_pylist(), found[k].to_pylist(), strict=True) if w is not None} for k in ("w0", "w1", "w")]
 
-    words = written(training_rows(docs, labels, label, kept, limit).select("doc_id", "y", "text").mapInArrow(restore, "doc_id long, y int, words array<string>"))
-    n_clean = words.where("y = 0").count()
 
-    def counted(known: set[str] | None):
-        """Features of each batch's documents with the number of these, of known ones only or of all."""
+def fit(words: DataFrame, cost: np.ndarray) -> Model:
+    """words: (y, half, words) with the restored words of each labelled document.
 
-        def run(batches):
-            import pyarrow as pa
+    Weights come from one half of the rows and the curve from the other, and the other way round, so that the curve meets
+    weights that haven't seen its rows; the final weights come from all.
+    """
+    own = weigh(words)
+    none = Model(cost, {}, np.array([-5.0, 0, 0, 0]))
+    shipped = words.sparkSession.sparkContext.broadcast([Model(none.cost[:0], w, none.curve) for w in own[:2]])
 
-            for batch in batches:
-                n: Counter = Counter()
-                for ws in batch.column(0).to_pylist():
-                    own = {f for w in ws for f in features(w)}
-                    n.update(own if known is None else own & known)
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["f", "n"])
+    def look(batches):
+        import pyarrow as pa
 
-        return run
+        models, memos = shipped.value, ({}, {})
+        for batch in batches:
+            halves = batch.column(1).to_pylist()
+            found = [models[1 - h].evidence(dict.fromkeys(ws, 1), memos[1 - h]) for h, ws in zip(halves, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([e[k] for e in found], pa.float64()) for k in range(3)]], names=["y", "e0", "e1", "e2"])
 
-    def frequent(y: int, known: set[str] | None, condition: Column) -> set[str]:
-        # features of `limit` documents at most
-        n = words.where(F.col("y") == y).select("words").mapInArrow(counted(known), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-        return {r[0] for r in n.where(condition).select("f").collect()}
+    seen = words.select("y", "half", "words").mapInArrow(look, "y int, e0 double, e1 double, e2 double").toArrow()  # TRAIN_ROWS rows of four numbers at most
+    rows = np.column_stack([seen[c].to_numpy() for c in ("y", "e0", "e1", "e2")]).astype(float)
+    if len(rows) < 4 or not rows[:, 0].any():
+        return none
+    rows = rows[np.lexsort(rows.T)]
+    return Model(cost, own[2], logistic(rows[:, 1:], rows[:, 0]))
 
-    # only words that can get a weight are sent on: with a feature that several toxic documents have and few clean ones
-    # half of them, which `fit` works on, may be fewer than LEAST
-    useful = frequent(1, None, F.col("n") >= (LEAST if words.where("y = 1").count() > 2 * LEAST else 2))
-    useful -= frequent(0, useful, F.col("n") > 2 * COMMON * n_clean)
 
-    def select(batches):
+def train(docs: DataFrame, labels: DataFrame, kept: Column, label: str = "toxic", limit: int = TRAIN_ROWS) -> Model:
+    """docs: doc_id and text; all texts feed the trigram model, and `limit` labelled ones at most the weights."""
+    cost = costs(trigram_counts(docs))
+
+    def restore(batches):
         import pyarrow as pa
 
+        r = Restorer(cost)
         for batch in batches:
-            known = lambda w: any(f in useful for f in features(w))
-            own = [[" ".join(filter(known, w.split(" "))) for w in ws if known(w)] for ws in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(r.words(t, True)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["y", "half", "words"])
 
-    chosen = words.mapInArrow(select, words.schema).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "words")
-    rows = chosen.select("words", "y").collect()  # `limit` rows at most
-    return fit([(r[0] or [], r[1]) for r in rows], cost)
+    rows = training_rows(docs, labels, label, kept, limit).select("y", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2)).cast("int").alias("half"), "text")
+    return fit(written(rows.mapInArrow(restore, "y int, half int, words array<string>")), cost)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns and `score`, 0 to 1."""
+def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The kept columns and a column of scores, 0 to 1."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = keep.index(text) if text in keep else len(keep)
 
@@ -406,7 +405,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         r, memo = Restorer(m.cost), {}
         for batch in batches:
             scores = [m.score(m.evidence(r.words(t, True), memo)) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, name])
 
-    own = docs.select(*keep, *([docs[text].alias("_text")] if text not in keep else []))
-    return own.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[: len(keep)]] + ["score double"]))
+    own = docs.select(*keep, *([docs[text].alias(fresh(keep, "_text"))] if text not in keep else []))
+    return own.mapInArrow(run, with_score(own, len(keep), name))
