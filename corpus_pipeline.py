@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe, jaccard, mixing, quality, toxicity
-from lodestrata.llm.common import read, remainder, written
+from lodestrata.llm.common import fresh, read, remainder, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts whose toxicity score is below 0.5."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
-    return toxicity.score(docs, model, docs.columns).where("score < 0.5").select(*docs.columns)
+    name = fresh(docs.columns, "score")
+    return toxicity.score(docs, model, docs.columns, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts whose quality score is at least 0.5."""
     model = quality.train(docs, read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
-    return quality.score(docs, model, docs.columns).where("score >= 0.5").select(*docs.columns)
+    name = fresh(docs.columns, "score")
+    return quality.score(docs, model, docs.columns, name=name).where(F.col(name) >= 0.5).drop(name)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
