@@ -34,7 +34,7 @@ from lodestrata.llm.common import fresh, training_rows, with_score, written
 TRAIN_ROWS = 20_000  # labelled documents at most that the weights are fitted on
 MOST = 100_000  # features at most that have a weight, the strongest
 CHUNK = 512  # documents whose features are counted together
-CACHE = 400_000  # words a worker keeps
+CACHE = 150_000  # words a worker keeps
 SHORT, END = 3, 5  # characters of a token that may be a piece of a word, and of the last piece
 LONGEST = 24  # characters of a word put together from pieces
 STEMS = (4, 5, 6, 7)
@@ -45,7 +45,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SWAP, DROP, SPLIT, JOIN = 1.0, 0.7, 0.4, 0.4  # costs of a substitution, of a dropped symbol, repetition or boundary
 FRONT, TAIL = "".join(c for c, x in LEET.items() if x and not c.isdigit()), "$+|<(€£"  # symbols that may be letters at a token's ends
 CLASSES = 64
+STOPS = ".,;:?!)\"'"  # none of them may be a letter at a token's end
 TWICE = re.compile(r"(.)\1", re.DOTALL).search
+RUNS = re.compile(r"(.)\1+", re.DOTALL).sub
 
 
 def classes() -> np.ndarray:
@@ -94,67 +96,71 @@ def costs(counts: np.ndarray) -> np.ndarray:
 
 class Channel:
     def __init__(self, cost: np.ndarray):
-        self.cost = cost.tolist()
+        self.cost = cost.ravel().tolist()
         self.code = {}
         table = classes()
         for c in map(chr, range(0x250)):
-            self.code[c] = table[list(c.encode())[-1]] if c.isalpha() else 0
+            self.code[c] = int(table[list(c.encode())[-1]]) if c.isalpha() else 0
         for c in "0123456789":
             self.code[c] = 27
 
-    def arcs(self, token: str, i: int) -> list[tuple[str, float]]:
-        """What the character at i may stand for ('' for nothing), with costs."""
-        c = token[i]
+        self.table = {}
+        for c, letters in LEET.items():
+            self.table[c] = [(x, self.code[x], SWAP) for x in letters]
+        for c in "0123456789":
+            self.table[c].append((c, 27, SWAP + 1))
+
+    def arcs(self, c: str, before: str) -> list[tuple[str, int, float]]:
+        """What a character may stand for behind another ('' for nothing), with classes and costs."""
         if c.isalpha():
-            out = [(c, 0.0)]
-            if i and token[i - 1] == c:
-                out.append(("", SPLIT))
-            return out
-        out = [(x, SWAP) for x in LEET.get(c, "")]
-        if c.isdigit():
-            out.append((c, SWAP + 1))
+            out = [(c, self.code.get(c, 0), 0.0)]
         else:
-            out.append(("", DROP))
-        if i and token[i - 1] == c:
-            out.append(("", SPLIT))
-        return out
+            out = self.table.get(c, [])
+            if not c.isdigit():
+                out = [*out, ("", 0, DROP)]
+        return [*out, ("", 0, SPLIT)] if c == before else out
+
+    def begin(self) -> tuple[list, str]:
+        """States before the first character: (cost, classes of the last two letters, letters) of each, and that character."""
+        return [(0.0, 0, "")], ""
+
+    def go(self, states: list, before: str, piece: str) -> tuple[list, str]:
+        """The states after some more characters. Of readings that end in the same two letters the cheapest goes on."""
+        cost, code = self.cost, self.code
+        for c in piece:
+            if c != before and c.isalpha() and len(states) == 1:  # one state, one arc
+                total, ab, out = states[0]
+                k = code.get(c, 0)
+                states = [(total + cost[ab << 6 | k], (ab & 63) << 6 | k, out + c)]
+            else:
+                new: dict = {}
+                arcs = self.arcs(c, before)
+                for total, ab, out in states:
+                    for x, k, extra in arcs:
+                        s = (total + extra + cost[ab << 6 | k], (ab & 63) << 6 | k, out + x) if x else (total + extra, ab, out)
+                        end = s[2][-2:]
+                        if end not in new or s[0] < new[end][0]:
+                            new[end] = s
+                states = list(new.values())
+            before = c
+        return states, before
+
+    def ended(self, states: list) -> tuple[float, str]:
+        """The cost and letters of the cheapest of the states, if a word ends there."""
+        cost = self.cost
+        if len(states) == 1:
+            return states[0][0] + cost[states[0][1] << 6], states[0][2]
+        total, _, out = min((s[0] + cost[s[1] << 6], s[2][-2:], s[2]) for s in states)
+        return total, out
+
+    def best(self, token: str) -> tuple[float, str]:
+        """The cost and letters of the cheapest reading of a token."""
+        return self.ended(self.go(*self.begin(), token)[0])
 
     def decode(self, token: str) -> str:
         """The cheapest reading of a token."""
         return self.best(token)[1]
 
-    def best(self, token: str) -> tuple[float, str]:
-        """The cost and letters of the cheapest reading of a token; states are the last two letters read."""
-        code, cost = self.code, self.cost
-        best = {("", ""): (0.0, None)}
-        trail = []
-        for i in range(len(token)):
-            new: dict = {}
-            for (a, b), (total, _) in best.items():
-                row = cost[code.get(a, 0)][code.get(b, 0)]
-                for c, extra in self.arcs(token, i):
-                    to, value = ((b, c), total + extra + row[code.get(c, 0)]) if c else ((a, b), total + extra)
-                    if to not in new or value < new[to][0]:
-                        new[to] = (value, ((a, b), c))
-            trail.append(new)
-            best = new
-        state = min(best, key=lambda s: (best[s][0] + cost[code.get(s[0], 0)][code.get(s[1], 0)][0], s))
-        a, b = state
-        out, total = [], best[state][0] + cost[code.get(a, 0)][code.get(b, 0)][0]
-        for step in reversed(trail):
-            state, c = step[state][1]
-            out.append(c)
-        return total, "".join(reversed(out))
-
-    def plain(self, token: str) -> float:
-        """The cost of a token as it is."""
-        code, cost, a, b, total = self.code, self.cost, 0, 0, 0.0
-        for c in token:
-            c = code.get(c, 0)
-            total += cost[a][b][c]
-            a, b = b, c
-        return total + cost[a][b][0]
-
 
 def stripped(token: str) -> str:
     """Without symbols around it, but for those that may be letters: in front of a token with a letter all from the first of
@@ -179,11 +185,44 @@ def plain(token: str) -> bool:
     return token.isalpha() and not TWICE(token)
 
 
+def squeezed(token: str) -> str:
+    """Without letters that follow the same letter. Dropping doubled letters, as a reading may, doesn't change it."""
+    return RUNS(r"\1", token) if TWICE(token) else token
+
+
+class Useless(dict):
+    """Whether no reading of a token that starts with two characters begins with a head: only if they are different letters,
+    as these stay in every reading."""
+
+    def __init__(self, heads: set[str] | None):
+        self.two, self.one = (None, None) if heads is None else ({h[:2] for h in heads}, {h for h in heads if len(h) < 2})
+
+    def __missing__(self, two: str) -> bool:
+        got = self.two is not None and two not in self.two and two[:1] not in self.one and two.isalpha() and len(two) == 2 and two[0] != two[1]
+        if len(self) > CACHE:
+            self.clear()
+        self[two] = got
+        return got
+
+
 class Restorer:
-    """Restores lower-cased tokens; remembers a bounded number of them."""
+    """Restores lower-cased tokens; remembers a bounded number of them.
 
-    def __init__(self, cost: np.ndarray):
+    heads: if only words are of use that begin like one of these (see `begins`), tokens that can't are left out undecoded. That
+    is exact: whatever doubled letters a reading drops, without any doubled letter it begins like the token.
+    """
+
+    def __init__(self, cost: np.ndarray, heads: set[str] | None = None):
         self.channel, self.memo, self.prices, self.runs = Channel(cost), {}, {}, {}
+        self.begins = None if heads is None else {squeezed(h) for h in heads}
+        self.useless = Useless(self.begins)
+
+    def useless_word(self, token: str) -> bool:
+        """Whether no reading of a token of letters begins with a head."""
+        if self.begins is None:
+            return False
+        s = squeezed(token)
+        return s[:4] not in self.begins and s[:3] not in self.begins and s[:2] not in self.begins and s[:1] not in self.begins
 
     def word(self, token: str) -> str:
         """The restored word alone."""
@@ -216,17 +255,20 @@ class Restorer:
         if got is None:
             if len(self.prices) > CACHE:
                 self.prices.clear()
-            got = self.prices[token] = self.channel.plain(token) if plain(token) else self.channel.best(token)[0]
+            got = self.prices[token] = self.channel.best(token)[0]
         return got
 
     def joined(self, run: tuple[str, ...]) -> list[str]:
         """The words that tokens of a run make with those behind the first: see above."""
         got = self.runs.get(run)
         if got is None:
+            go, ended = self.channel.go, self.channel.ended
             word, apart, got = run[0], self.price(run[0]), []
+            states, last = go(*self.channel.begin(), word)
             for k, piece in enumerate(run[1:], 1):
                 word, apart = word + piece, apart + self.price(piece)
-                if len(word) == k + 1 > 2 or self.price(word) + JOIN * k <= apart:
+                states, last = go(states, last, piece)
+                if len(word) == k + 1 > 2 or ended(states)[0] + JOIN * k <= apart:
                     got.append(self.readings(word))
             if len(self.runs) > CACHE:
                 self.runs.clear()
@@ -237,19 +279,29 @@ class Restorer:
         """The restored words of a text: of each token, and of short neighbouring tokens. `together` makes one item, which
         counts once, of all words that begin with the same of these tokens."""
         tokens = (text or "").lower().split()
-        found = Counter(tokens)
         out: Counter = Counter()
-        for t, n in found.items():
+        useless = self.useless
+        for t, n in Counter(tokens).items():
+            if useless[t[:2]]:
+                continue
+            core = t.rstrip(STOPS)
+            if core.isalpha():  # stops behind letters mean nothing
+                if self.useless_word(core):
+                    continue
+                t = core
             if w := self.readings(t):
                 out[w] += n
         sizes = list(map(len, tokens))
         for i in range(len(tokens) - 1):
-            if sizes[i] <= SHORT and sizes[i + 1] <= END:
+            if sizes[i] <= SHORT and sizes[i + 1] <= END and not useless[(tokens[i] + tokens[i + 1])[:2]]:
                 j, size = i + 1, sizes[i]
                 while j < len(tokens) and sizes[j] <= END and sizes[j - 1] <= SHORT and size + sizes[j] <= LONGEST:
                     size += sizes[j]
                     j += 1
-                if got := self.joined(tuple(tokens[i:j])):
+                run = tuple(tokens[i:j])
+                if self.begins is not None and (word := "".join(run)).isalpha() and self.useless_word(word):
+                    continue
+                if got := self.joined(run):
                     out.update([" ".join(got)] if together else got)
         return out
 
@@ -402,7 +454,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", na
         import pyarrow as pa
 
         m = shipped.value
-        r, memo = Restorer(m.cost), {}
+        r, memo = Restorer(m.cost, m.heads), {}
         for batch in batches:
             scores = [m.score(m.evidence(r.words(t, True), memo)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, name])

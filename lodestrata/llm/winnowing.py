@@ -3,67 +3,83 @@
 A text is hashed at every code point over a window of GRAM code points; in every run of WINDOW such hashes the least is selected, of
 equal ones the rightmost. Any passage of GRAM + WINDOW - 1 code points that two texts share is therefore selected alike in
 both. Hash and position are packed into one number, the position turned round, so that a plain minimum breaks ties to the
-right; minima over runs come from doubling: least of two neighbours, of four, and so on.
+right.
+
+Nothing here is interpreted for each code point: a text is laid out at four bytes a code point, so a gram is a slice at a known
+place; a row for each block of WINDOW runs holds the hashes that they need, and a row for each run its minimum. Only rows
+whose minimum differs from that of the run before, about one in eight, go into the fingerprint.
 
 Nulls are empty texts, whose fingerprints are empty; a text shorter than GRAM has one hash, of the whole. Very long texts
 are read whole. Repeated rows have the same fingerprints; among equal doc_ids the order is by a
-hash of the text, nulls come last.
+hash of the text, nulls come last. An empty table has no fingerprints. Other columns are not read, so their names don't matter.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from lodestrata.operators.ordinals import bounds, range_of
 
-GRAM, WINDOW = 16, 16  # powers of two
+GRAM, WINDOW = 16, 16
 MAX_POS = 2147483647
+HIGH, LOW = -(1 << 32), 0xFFFFFFFF
 
 
-def _joined(h: Column, step: int):
-    return lambda x, i: F.xxhash64(x, F.get(h, i + step))
-
+def selected(df: DataFrame, keys: list[str], text: str, gram: int = GRAM, window: int = WINDOW, once: str | None = None) -> DataFrame:
+    """(keys, _picked): a row for each selected hash, or a null one for an empty text. `once` is a column that only the first row
+    of each text gets, null elsewhere."""
+    n = F.coalesce(F.length(text), F.lit(0))
+    extra = [once] if once else []
+    df = df.select(*keys, *extra, F.coalesce(F.encode(text, "UTF-32"), F.lit(b"")).alias("_codes"), F.greatest(n - gram, F.lit(0)).alias("_last"), F.greatest(n - gram - window + 2, F.least(n, F.lit(1))).alias("_runs"))
+    df = df.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_runs") - 1, F.lit(0)), F.lit(window))).alias("_at"))
+    df = df.select("*", (F.col("_at") * 4).alias("_byte"), (F.lit(MAX_POS) - F.col("_at")).cast("long").alias("_turned"))
+    packed = lambda k: F.xxhash64(F.substring("_codes", F.col("_byte") + (4 * k + 1), F.lit(4 * gram))).bitwiseAND(F.lit(HIGH)).bitwiseOR(F.col("_turned") - F.lit(k).cast("long"))
+    # from the hash before the block's first run to the last of its last run
+    df = df.select(*keys, *extra, "_last", "_runs", "_at", F.array(*[packed(k) for k in range(-1, 2 * window - 1)]).alias("_h"))
+    df = df.select("*", F.explode(F.array(*map(F.lit, range(window)))).alias("_j"))
+    h = lambda k: F.get("_h", F.col("_j") + k)
+    inner = F.least(*[h(k) for k in range(1, window)]) if window > 2 else h(1) if window > 1 else F.lit(None).cast("long")
+    pos = F.col("_at") + F.col("_j")
+    df = df.select(*keys, *[F.when(pos == 0, F.col(c)).alias(c) for c in extra], "_last", "_runs", pos.alias("_pos"), "_h", inner.alias("_inner"), h(0).alias("_left"), h(window).alias("_right"))
+    # a text with one run may have less than a run's hashes
+    least = F.when(F.col("_runs") == 1, F.array_min(F.slice("_h", F.lit(2), F.col("_last") + 1))).otherwise(F.least("_inner", "_right"))
+    df = df.select(*keys, *extra, "_runs", "_pos", least.alias("_min"), F.least("_inner", "_left").alias("_before"))
+    keep = (F.col("_pos") == 0) | ((F.col("_pos") < F.col("_runs")) & (F.col("_min") != F.col("_before")))
+    # exploded, not filtered: a filter would be moved before the minima, which would then be worked out twice
+    df = df.select(*keys, *extra, "_runs", F.explode(F.when(keep, F.array("_min")).otherwise(F.array().cast("array<long>"))).alias("_min"))
+    place = F.shiftleft(F.lit(MAX_POS).cast("long") - F.col("_min").bitwiseAND(F.lit(MAX_POS)), 32)
+    return df.select(*keys, *extra, F.when(F.col("_runs") > 0, place.bitwiseOR(F.shiftright("_min", 32).bitwiseAND(F.lit(LOW)))).alias("_picked"))
 
-def _packed(x: Column, i: Column) -> Column:
-    return F.shiftleft(F.shiftright(x, 32), 31).bitwiseOR((F.lit(MAX_POS) - i).cast("long"))
 
+def gathered() -> Column:
+    """The picked numbers of a text, in the order of their positions: position in the upper half, hash in the lower."""
+    return F.sort_array(F.collect_list("_picked"))
 
-def _least_with(m: Column, step: int):
-    return lambda x, i: F.least(x, F.get(m, i + step))
 
+def fingerprints(df: DataFrame, keys: list[str], text: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """(keys, fingerprint) of every text; the keys tell rows apart."""
+    return selected(df, keys, text, gram, window).groupBy(*keys).agg(gathered().alias("fingerprint"))
 
-def fingerprints(df: DataFrame, columns: dict[str, str], gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Adds for each text column (name: new column) its selected numbers, in the order of their positions.
 
-    Hashes of grams come from doubling too: of one code point, of two, of four, and so on. Each step is a projection over
-    arrays, whose elements are read in place; strings and binaries would be copied or walked for every position.
-    """
-    names = list(columns.values())
-    df = df.withColumns({f"_n_{name}": F.length(text) for text, name in columns.items()} | {f"_m_{name}": F.transform(F.split(text, ""), lambda c: F.xxhash64(c)) for text, name in columns.items()})
-    step = 1
-    while step < gram:
-        df = df.withColumns({f"_m_{name}": F.transform(F.col(f"_m_{name}"), _joined(F.col(f"_m_{name}"), step)) for name in names})
-        step *= 2
-    # a text shorter than a gram keeps its first hash, which covers all of it
-    df = df.withColumns({f"_m_{name}": F.transform(F.slice(f"_m_{name}", F.lit(1), F.greatest(F.col(f"_n_{name}") - gram + 1, F.least(f"_n_{name}", F.lit(1)))), _packed) for name in names})
-    step = 1
-    while step < window:
-        df = df.withColumns({f"_m_{name}": F.transform(F.col(f"_m_{name}"), _least_with(F.col(f"_m_{name}"), step)) for name in names})
-        step *= 2
-    runs = lambda name: F.greatest(F.col(f"_n_{name}") - gram - window + 2, F.least(f"_n_{name}", F.lit(1)))  # noqa: E731  of a short text one
-    df = df.withColumns({name: F.array_distinct(F.slice(f"_m_{name}", F.lit(1), runs(name))) for name in names})
-    return df.drop(*[f"_{k}_{name}" for name in names for k in "mn"])
+def _hash(x: Column) -> Column:
+    return F.shiftright(F.shiftleft(x, 32), 32).cast("int")
 
 
 def grams(fingerprint: Column) -> Column:
     """The distinct hashes, without positions."""
-    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, 31).cast("int")))
+    return F.array_distinct(F.transform(fingerprint, _hash))
 
 
 def positions(fingerprint: Column) -> Column:
     """(hash, position) of what is selected."""
-    return F.transform(fingerprint, lambda x: F.struct(F.shiftright(x, 31).cast("int").alias("hash"), (F.lit(MAX_POS) - x.bitwiseAND(F.lit(MAX_POS))).cast("int").alias("pos")))
+    return F.transform(fingerprint, lambda x: F.struct(_hash(x).alias("hash"), F.shiftright(x, 32).cast("int").alias("pos")))
+
+
+def places(fingerprint: Column) -> Column:
+    """The positions alone, as text."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.shiftright(x, 32).cast("string")), ",")
 
 
 def digest(fingerprint: Column) -> Column:
@@ -89,7 +105,8 @@ def with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     heads = [(r[0], r[1]["_id"], r[1]["_tie"]) for r in own.groupBy("_range").agg(F.max(F.struct("_id", "_tie")).alias("head")).collect()]  # a row for each range
     heads.sort()
     target = [(r, i, t, heads[(k + 1) % len(heads)][0]) for k, (r, i, t) in enumerate(heads)]
-    heads = docs.sparkSession.createDataFrame(target, "_r int, _head_id long, _head_tie long, _to int")
+    fields = [StructField("_r", IntegerType()), StructField("_head_id", own.schema["_id"].dataType), StructField("_head_tie", LongType()), StructField("_to", IntegerType())]
+    heads = docs.sparkSession.createDataFrame(target, StructType(fields))
     placed = own.join(F.broadcast(heads), F.col("_range") == F.col("_r"))
     here, there = F.struct(F.col("_range").alias("at"), F.lit(False).alias("visits")), F.struct(F.col("_to").alias("at"), F.lit(True).alias("visits"))
     head = F.col("_id").eqNullSafe(F.col("_head_id")) & (F.col("_tie") == F.col("_head_tie"))
@@ -98,14 +115,20 @@ def with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited form (its last half replaced by as much of the beginning of the next text), with
-    likenesses."""
-    marked = fingerprints(with_next(docs, doc_id, text), {"_text": "_print"}).withColumn("_grams", grams(F.col("_print")))
+    likenesses. The rows of a range of ids stay together from the texts to the result: there is one shuffle."""
     order = Window.partitionBy("at").orderBy("visits", F.col("_id").desc_nulls_last(), F.col("_tie").desc())
-    pairs = marked.withColumns({"_next": F.lead("_text").over(order), "_next_grams": F.lead("_grams").over(order)}).where(~F.col("visits"))
+    rows = with_next(docs, doc_id, text).withColumns({"_row": F.row_number().over(order), "_next": F.lead("_text").over(order)})
     half = F.floor(F.length("_text") / 2).cast("int")
-    edited = pairs.withColumn("_edited", F.concat(F.left("_text", F.length("_text") - half), F.left("_next", half))).drop("_next", "_tie", "at", "visits")
-    edited = fingerprints(edited, {"_edited": "_edited_print"}).withColumn("_edited_grams", grams(F.col("_edited_print")))
-    return edited.select(
-        F.col("_id").alias(doc_id), F.length("_text").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), digest(F.col("_print")).alias("fingerprint"), digest(F.col("_edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("_grams"), F.col("_edited_grams")).alias("near_edited"), likeness(F.col("_grams"), F.col("_next_grams")).alias("near_next"),
+    edited = F.concat(F.left("_text", F.length("_text") - half), F.left("_next", half))
+    rows = rows.select("at", "_row", "_id", "visits", "_text", F.when(~F.col("visits"), edited).alias("_edited"))
+    about = F.struct("_id", "visits", F.length("_text").cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
+    own = F.struct(F.lit(0).alias("which"), F.col("_text").alias("t"), about.alias("about"))
+    other = F.struct(F.lit(1).alias("which"), F.col("_edited").alias("t"), F.when(F.lit(False), about).alias("about"))
+    texts = rows.select("at", "_row", F.explode(F.when(F.col("visits"), F.array(own)).otherwise(F.array(own, other))).alias("x")).select("at", "_row", "x.which", "x.t", "x.about")
+    prints = selected(texts, ["at", "_row", "which"], "t", once="about").groupBy("at", "_row", "which").agg(gathered().alias("p"), F.first("about", ignorenulls=True).alias("about"))
+    pairs = prints.groupBy("at", "_row").agg(*[F.first(F.when(F.col("which") == k, F.col("p")), ignorenulls=True).alias(name) for k, name in ((0, "_print"), (1, "_edited_print"))], F.first("about", ignorenulls=True).alias("about"))
+    pairs = pairs.withColumn("_grams", grams(F.col("_print"))).withColumn("_next_grams", F.lead("_grams").over(Window.partitionBy("at").orderBy("_row"))).where(~F.col("about.visits"))
+    return pairs.withColumn("_edited_grams", grams(F.col("_edited_print"))).select(
+        F.col("about._id").alias(doc_id), "about.n_chars", "about.edited_sha256", digest(F.col("_print")).alias("fingerprint"), digest(F.col("_edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("_grams"), F.col("_edited_grams")).alias("near_edited"), likeness(F.col("_grams"), F.col("_next_grams")).alias("near_next"), places(F.col("_print")).alias("positions"),
     )

@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from compare import DATA, duck, same
 from pyspark.sql import functions as F
 
@@ -268,37 +269,51 @@ def test_html_keeps_what_is_inside():
     assert html.main_text(page).replace(" ", "") == "Letx=2hold,andthefallbacktoo,achartandnoscriptend."
 
 
-def brute_winnow(text, k, w):
-    grams = [text[i : i + k] for i in range(len(text) - k + 1)] or ([text] if text else [])
-    return grams, max(1, len(grams) - w + 1) if grams else 0
+def brute_winnow(text, k=winnowing.GRAM, w=winnowing.WINDOW):
+    """[(hash, position)]: the rightmost least hash of every run, hashes by the xxhash library."""
+    h = [xxhash.xxh64_intdigest(text[i : i + k].encode("utf-32-be"), 42) for i in range(len(text) - k + 1)] or ([xxhash.xxh64_intdigest(text.encode("utf-32-be"), 42)] if text else [])
+    h = [(x - (1 << 64) if x >> 63 else x) >> 32 for x in h]
+    return sorted({max((-x, i) for i, x in enumerate(h[j : j + w], j)) for j in range(max(1, len(h) - w + 1))}, key=lambda p: p[1]) if h else []
 
 
 def test_winnowing(spark, docs, edge, empty):
     assert winnowing.compare(empty).collect() == []
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
     got = {r.doc_id: r for r in winnowing.compare(docs).collect()}
+    assert len(got) == len(rows)
+
+    def digest(p):
+        return hashlib.sha256(",".join(str(i << 32 | -x & 0xFFFFFFFF) for x, i in p).encode()).hexdigest()
+
+    def like(p, q):
+        a, b = {x for x, _ in p}, {x for x, _ in q}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    prints = [brute_winnow(t) for _, t in rows]
     for i, (d, t) in enumerate(rows):
-        half = len(t) // 2
-        edited = t[: len(t) - half] + rows[(i + 1) % len(rows)][1][:half]
-        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[d].n_chars == len(t)
-    p = winnowing.fingerprints(docs.select("doc_id", "text"), {"text": "p"}).select("text", winnowing.positions(F.col("p")).alias("p")).limit(20).collect()
-    hashes = {}
-    for r in p:
-        grams, runs = brute_winnow(r.text, winnowing.GRAM, winnowing.WINDOW)
-        chosen = {x.pos: x.hash for x in r.p}
-        for pos, h in chosen.items():
-            assert hashes.setdefault(grams[pos], h) == h  # a hash belongs to its gram
-        # every run has a chosen place, and between chosen places hashes are not smaller
-        places = sorted(chosen)
-        assert all(any(j <= q < j + winnowing.WINDOW for q in places) for j in range(runs))
+        half, k = len(t) // 2, (i + 1) % len(rows)
+        edited = t[: len(t) - half] + rows[k][1][:half]
+        other, r = brute_winnow(edited), got[d]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(t)
+        assert (r.fingerprint, r.edited_fingerprint) == (digest(prints[i]), digest(other))
+        assert (r.near_edited, r.near_next) == (like(prints[i], other), like(prints[i], prints[k]))
+        assert r.positions == ",".join(str(i) for _, i in prints[i])
     edges = winnowing.compare(edge).collect()
     assert len(edges) == len(EDGE) and len({r.fingerprint for r in edges if r.doc_id == 5}) == 1
 
 
-def test_winnowing_rightmost(spark):
-    t = spark.createDataFrame([("a" * 60,)], "text string")
-    pos = [x.pos for x in winnowing.fingerprints(t, {"text": "p"}).select(winnowing.positions(F.col("p")).alias("p")).first().p]
-    assert pos == list(range(winnowing.WINDOW - 1, 60 - winnowing.GRAM + 1))  # the right end of every run
+def test_winnowing_string_ids(spark):
+    rows = [("b", "x" * 40), ("a", "wörld \U0001f600 " * 9), (None, None), ("c", "")]
+    got = {r.doc_id: r for r in winnowing.compare(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got["a"].positions == ",".join(str(i) for _, i in brute_winnow(rows[1][1])) and got["a"].n_chars == len(rows[1][1])
+    assert got[None].positions == got["c"].positions == "" and got[None].n_chars == 0 and len(got) == 4
+
+
+@pytest.mark.parametrize("n", [1, 15, 16, 17, 30, 31, 32, 46, 47, 48, 60])
+def test_winnowing_rightmost(spark, n):
+    t = spark.createDataFrame([(1, "a" * n)], "k int, text string")
+    pos = [x.pos for x in winnowing.fingerprints(t, ["k"], "text").select(winnowing.positions(F.col("fingerprint")).alias("p")).first().p]
+    assert pos == [i for _, i in brute_winnow("a" * n)]  # the right end of every run
 
 
 def test_quotes(spark):
