@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 #: ASCII white space, as a class for Java and Python patterns: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]"
+BATCH = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,6 +40,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; the session sends BATCH rows at a time to Python from now on, if it was left to send 10,000: buffers that
+    double as they fill would hold some hundred megabytes of long texts in each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

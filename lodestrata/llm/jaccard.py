@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernel
-from lodestrata.llm.common import written
+from lodestrata.llm.common import small_batches, written
 from lodestrata.llm.components import components
 
 WORDS = 5
@@ -73,7 +73,7 @@ def _once(batches, column: int):
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.col(text).cast("binary").alias("_t"))
+    return small_batches(docs).select(F.col(text).cast("binary").alias("_t"))
 
 
 # 1. frequencies

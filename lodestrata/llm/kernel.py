@@ -59,6 +59,13 @@ def pieces(column, limit: int = 1 << 21):
         at = to
 
 
+def parts(batches, rows: int = 256):
+    """The batches cut into small ones, without copying, so that what is made of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first word of each row and the total) of the words of each row."""
     n = len(buf)

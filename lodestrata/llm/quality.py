@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernel
-from lodestrata.llm.common import fresh, training_rows, with_score
+from lodestrata.llm.common import fresh, small_batches, training_rows, with_score
 
 TRAIN_ROWS = 20_000  # labelled documents at most
 BINS, CYCLES, PAIRS, PAIR_CYCLES, RATE = 32, 60, 6, 30, 0.15
@@ -177,7 +177,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 def _features(batches, keep: int, at: int | None = None):
     """(kept columns, features) of each batch; at: the place of the text (behind the kept columns)."""
-    for batch in batches:
+    for batch in kernel.parts(batches, 2048):
         rows = [describe(buf, offsets) for _, buf, offsets in kernel.pieces(batch.column(keep if at is None else at))]
         yield [batch.column(i) for i in range(keep)], np.concatenate(rows) if rows else np.zeros((0, len(NAMES)))
 
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, kept: Column, label: str = "qualit
         for (y,), x in _features(batches, 1):
             yield pa.RecordBatch.from_arrays([y, pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = training_rows(docs, labels, label, kept, limit).select("y", F.col("text").cast("binary").alias("t"))
+    rows = training_rows(small_batches(docs), labels, label, kept, limit).select("y", F.col("text").cast("binary").alias("t"))
     found = rows.mapInArrow(run, "y int, x array<double>").toArrow()  # `limit` rows at most
     x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)) if len(found) else np.zeros((0, len(NAMES)))
     y = found["y"].to_numpy().astype(float)
@@ -208,5 +208,5 @@ def score(docs: DataFrame, model: Additive, keep: list[str], text: str = "text",
         for columns, x in _features(batches, len(keep), at):
             yield pa.RecordBatch.from_arrays([*columns, pa.array(shipped.value.score(x), pa.float64())], names=[*keep, name])
 
-    own = docs.select(*keep, *([docs[text].cast("binary").alias(fresh(keep, "_text"))] if text not in keep else []))
+    own = small_batches(docs).select(*keep, *([docs[text].cast("binary").alias(fresh(keep, "_text"))] if text not in keep else []))
     return own.mapInArrow(run, with_score(own, len(keep), name))

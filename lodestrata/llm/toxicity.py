@@ -29,12 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernel
-from lodestrata.llm.common import fresh, training_rows, with_score, written
+from lodestrata.llm.common import fresh, small_batches, training_rows, with_score, written
 
 TRAIN_ROWS = 20_000  # labelled documents at most that the weights are fitted on
 MOST = 100_000  # features at most that have a weight, the strongest
-CHUNK = 512  # documents whose features are counted together
-CACHE = 150_000  # words a worker keeps
+CACHE = 120_000  # words a worker keeps
 SHORT, END = 3, 5  # characters of a token that may be a piece of a word, and of the last piece
 LONGEST = 24  # characters of a word put together from pieces
 STEMS = (4, 5, 6, 7)
@@ -44,9 +43,11 @@ LEAST = 3  # labelled toxic documents that a weighed word must be in
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": ""}
 SWAP, DROP, SPLIT, JOIN = 1.0, 0.7, 0.4, 0.4  # costs of a substitution, of a dropped symbol, repetition or boundary
 FRONT, TAIL = "".join(c for c, x in LEET.items() if x and not c.isdigit()), "$+|<(€£"  # symbols that may be letters at a token's ends
+DOUBT = {c for c, x in LEET.items() if x}
 CLASSES = 64
 STOPS = ".,;:?!)\"'"  # none of them may be a letter at a token's end
 TWICE = re.compile(r"(.)\1", re.DOTALL).search
+LETTERS = re.compile(r"[^\W\d_]*").match  # from the start on
 RUNS = re.compile(r"(.)\1+", re.DOTALL).sub
 
 
@@ -78,7 +79,7 @@ def trigram_counts(texts: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["g", "n"])
 
-    counts = texts.select(F.col(text).cast("binary").alias("t")).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counts = small_batches(texts).select(F.col(text).cast("binary").alias("t")).mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     out = np.zeros(CLASSES**3)
     found = counts.toArrow()  # 64**3 rows of two numbers at most
     out[found["g"].to_numpy()] = found["n"].to_numpy()
@@ -118,6 +119,8 @@ class Channel:
             out = self.table.get(c, [])
             if not c.isdigit():
                 out = [*out, ("", 0, DROP)]
+            elif not out:
+                out = [(c, self.code.get(c, 0), SWAP + 1)]
         return [*out, ("", 0, SPLIT)] if c == before else out
 
     def begin(self) -> tuple[list, str]:
@@ -190,39 +193,11 @@ def squeezed(token: str) -> str:
     return RUNS(r"\1", token) if TWICE(token) else token
 
 
-class Useless(dict):
-    """Whether no reading of a token that starts with two characters begins with a head: only if they are different letters,
-    as these stay in every reading."""
-
-    def __init__(self, heads: set[str] | None):
-        self.two, self.one = (None, None) if heads is None else ({h[:2] for h in heads}, {h for h in heads if len(h) < 2})
-
-    def __missing__(self, two: str) -> bool:
-        got = self.two is not None and two not in self.two and two[:1] not in self.one and two.isalpha() and len(two) == 2 and two[0] != two[1]
-        if len(self) > CACHE:
-            self.clear()
-        self[two] = got
-        return got
-
-
 class Restorer:
-    """Restores lower-cased tokens; remembers a bounded number of them.
-
-    heads: if only words are of use that begin like one of these (see `begins`), tokens that can't are left out undecoded. That
-    is exact: whatever doubled letters a reading drops, without any doubled letter it begins like the token.
-    """
+    """Restores lower-cased tokens; remembers a bounded number of them."""
 
-    def __init__(self, cost: np.ndarray, heads: set[str] | None = None):
+    def __init__(self, cost: np.ndarray):
         self.channel, self.memo, self.prices, self.runs = Channel(cost), {}, {}, {}
-        self.begins = None if heads is None else {squeezed(h) for h in heads}
-        self.useless = Useless(self.begins)
-
-    def useless_word(self, token: str) -> bool:
-        """Whether no reading of a token of letters begins with a head."""
-        if self.begins is None:
-            return False
-        s = squeezed(token)
-        return s[:4] not in self.begins and s[:3] not in self.begins and s[:2] not in self.begins and s[:1] not in self.begins
 
     def word(self, token: str) -> str:
         """The restored word alone."""
@@ -280,32 +255,35 @@ class Restorer:
         counts once, of all words that begin with the same of these tokens."""
         tokens = (text or "").lower().split()
         out: Counter = Counter()
-        useless = self.useless
         for t, n in Counter(tokens).items():
-            if useless[t[:2]]:
-                continue
-            core = t.rstrip(STOPS)
-            if core.isalpha():  # stops behind letters mean nothing
-                if self.useless_word(core):
-                    continue
-                t = core
-            if w := self.readings(t):
+            if w := self.readings(bare(t)):
                 out[w] += n
-        sizes = list(map(len, tokens))
-        for i in range(len(tokens) - 1):
-            if sizes[i] <= SHORT and sizes[i + 1] <= END and not useless[(tokens[i] + tokens[i + 1])[:2]]:
-                j, size = i + 1, sizes[i]
-                while j < len(tokens) and sizes[j] <= END and sizes[j - 1] <= SHORT and size + sizes[j] <= LONGEST:
-                    size += sizes[j]
-                    j += 1
-                run = tuple(tokens[i:j])
-                if self.begins is not None and (word := "".join(run)).isalpha() and self.useless_word(word):
-                    continue
-                if got := self.joined(run):
-                    out.update([" ".join(got)] if together else got)
+        for run in runs(tokens):
+            if got := self.joined(run):
+                out.update([" ".join(got)] if together else got)
         return out
 
 
+def bare(token: str) -> str:
+    """A token of letters without stops behind it, which mean nothing; another as it is."""
+    core = token.rstrip(STOPS)
+    return core if core.isalpha() else token
+
+
+def runs(tokens: list[str]) -> list[tuple[str, ...]]:
+    """Short neighbouring tokens, from each one on as far as they go."""
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    out = []
+    for i in np.flatnonzero((sizes[:-1] <= SHORT) & (sizes[1:] <= END)).tolist():
+        j, size = i + 1, len(tokens[i])
+        while j < len(tokens) and len(tokens[j]) <= END and len(tokens[j - 1]) <= SHORT and size + len(tokens[j]) <= LONGEST:
+            size += len(tokens[j])
+            j += 1
+        if j > i + 1:
+            out.append(tuple(tokens[i:j]))
+    return out
+
+
 def features(readings: str) -> list[str]:
     return [f for word in readings.split(" ") for f in (word, *[word[:n] + "~" for n in STEMS if len(word) >= n])]
 
@@ -335,14 +313,106 @@ class Model:
                 x = memo[w] = max([self.weights.get(f, 0.0) for f in features(w)])
             if x:
                 found.append(x)
-        found.sort(reverse=True)
-        return (found[0] if found else 0.0, sum(found[:5]), math.log1p(len(found)))
+        return summary(found)
 
     def score(self, evidence: tuple[float, float, float]) -> float:
         z = self.curve[0] + sum(c * x for c, x in zip(self.curve[1:], evidence, strict=True))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def lettered(token: str) -> str:
+    """The letters of a token, if nothing else in it may be a letter; else nothing."""
+    if token.isalpha():
+        return token
+    return "".join(filter(str.isalpha, token)) if DOUBT.isdisjoint(token) and not any(map(str.isdigit, token)) else ""
+
+
+class Scorer:
+    """Evidence and scores of texts. Tokens that can't have a weight are left out undecoded, which changes nothing: whatever
+    doubled letters a reading drops, without any doubled letter it and a token of letters begin alike, so a token whose
+    beginnings aren't those of a weighed word or stem has no weighed reading."""
+
+    def __init__(self, model: Model):
+        self.model, self.restorer = model, Restorer(model.cost)
+        self.whole = {squeezed(f) for f in model.weights if not f.endswith("~")}
+        self.stems = {squeezed(f[:-1]) for f in model.weights if f.endswith("~")}
+        self.few = any(len(f) < STEMS[0] for f in self.stems)
+        self.begins = {f[:n] for f in self.whole | self.stems for n in range(1, len(f) + 1)}
+        self.none: set = set()  # tokens and runs without a weight
+        self.some: dict = {}  # (readings, weight) of the others
+
+    def weight(self, readings: str) -> float:
+        return max([self.model.weights.get(f, 0.0) for f in features(readings)])
+
+    def stem(self, s: str) -> bool:
+        """Whether squeezed letters begin with a weighed stem, squeezed."""
+        stems = self.stems
+        return s[:4] in stems or s[:5] in stems or s[:6] in stems or s[:7] in stems or self.few and (s[:3] in stems or s[:2] in stems or s[:1] in stems)
+
+    def hopeless(self, token: str) -> bool:
+        """Whether no reading of a token has a weight; tokens that don't begin with letters always may."""
+        if letters := lettered(token):
+            s = squeezed(letters)
+            return s not in self.whole and not self.stem(s)
+        letters = LETTERS(token)[0]
+        if not letters.isalpha():
+            return False
+        s = squeezed(letters)
+        return s not in self.begins and not self.stem(s)
+
+    def hopeless_run(self, run: tuple[str, ...]) -> bool:
+        """The same of the words that tokens of a run make with those behind the first."""
+        pieces = list(map(lettered, run))
+        if not all(pieces):
+            return False
+        s = squeezed("".join(pieces))
+        if s[:2] not in self.begins:
+            return True
+        if self.stem(s):
+            return False
+        word = pieces[0]
+        for piece in pieces[1:]:
+            word += piece
+            if squeezed(word) in self.whole:
+                return False
+        return True
+
+    def look(self, item) -> None:
+        """Puts a token or run into `none` or `some`."""
+        got = ""
+        if isinstance(item, str):
+            token = bare(item)
+            if not self.hopeless(token):
+                got = self.restorer.readings(token)
+        elif not self.hopeless_run(item):
+            got = " ".join(self.restorer.joined(item))
+        if got and (x := self.weight(got)):
+            self.some[item] = got, x
+        else:
+            self.none.add(item)
+
+    def evidence(self, text: str | None) -> tuple[float, float, float]:
+        """What Model.evidence says of Restorer.words."""
+        tokens = (text or "").lower().split()
+        if len(self.none) + len(self.some) > CACHE:
+            self.none.clear()
+            self.some.clear()
+        items = {*tokens, *runs(tokens)}
+        new = items - self.none
+        for item in new - self.some.keys():
+            self.look(item)
+        return summary(dict(self.some[item] for item in new & self.some.keys()).values())
+
+    def score(self, text: str | None) -> float:
+        return self.model.score(self.evidence(text))
+
+
+def summary(weights: Iterable[float]) -> tuple[float, float, float]:
+    """The largest, the sum of the five largest, and the number of them."""
+    found = sorted(weights, reverse=True)
+    return (found[0] if found else 0.0, sum(found[:5]), math.log1p(len(found)))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Coefficients, intercept first, by Newton's steps with a ridge; a step that makes things worse is halved."""
     x = np.column_stack([np.ones(len(y)), x])
@@ -379,14 +449,12 @@ def weigh(words: DataFrame) -> list[dict[str, float]]:
         def run(batches):
             import pyarrow as pa
 
-            for whole in batches:
-                for at in range(0, len(whole), CHUNK):
-                    batch = whole.slice(at, CHUNK)
-                    tally: tuple[Counter, Counter] = (Counter(), Counter())
-                    for half, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                        tally[half].update({f for w in ws if heads is None or begins(w, heads) for f in features(w)})
-                    names = list(tally[0] | tally[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([t[f] for f in names], pa.int64()) for t in tally]], names=["f", "a", "b"])
+            for batch in kernel.parts(batches):
+                tally: tuple[Counter, Counter] = (Counter(), Counter())
+                for half, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    tally[half].update({f for w in ws if heads is None or begins(w, heads) for f in features(w)})
+                names = list(tally[0] | tally[1])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([t[f] for f in names], pa.int64()) for t in tally]], names=["f", "a", "b"])
 
         return run
 
@@ -417,7 +485,7 @@ def fit(words: DataFrame, cost: np.ndarray) -> Model:
         import pyarrow as pa
 
         models, memos = shipped.value, ({}, {})
-        for batch in batches:
+        for batch in kernel.parts(batches):
             halves = batch.column(1).to_pylist()
             found = [models[1 - h].evidence(dict.fromkeys(ws, 1), memos[1 - h]) for h, ws in zip(halves, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([e[k] for e in found], pa.float64()) for k in range(3)]], names=["y", "e0", "e1", "e2"])
@@ -438,7 +506,7 @@ def train(docs: DataFrame, labels: DataFrame, kept: Column, label: str = "toxic"
         import pyarrow as pa
 
         r = Restorer(cost)
-        for batch in batches:
+        for batch in kernel.parts(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(r.words(t, True)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["y", "half", "words"])
 
     rows = training_rows(docs, labels, label, kept, limit).select("y", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2)).cast("int").alias("half"), "text")
@@ -453,11 +521,10 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", na
     def run(batches):
         import pyarrow as pa
 
-        m = shipped.value
-        r, memo = Restorer(m.cost, m.heads), {}
-        for batch in batches:
-            scores = [m.score(m.evidence(r.words(t, True), memo)) for t in batch.column(at).to_pylist()]
+        s = Scorer(shipped.value)
+        for batch in kernel.parts(batches):
+            scores = [s.score(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, name])
 
-    own = docs.select(*keep, *([docs[text].alias(fresh(keep, "_text"))] if text not in keep else []))
+    own = small_batches(docs).select(*keep, *([docs[text].alias(fresh(keep, "_text"))] if text not in keep else []))
     return own.mapInArrow(run, with_score(own, len(keep), name))

@@ -13,7 +13,7 @@ import xxhash
 from compare import DATA, duck, same
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe, components, html, jaccard, kernel, licenses, mixing, quality, quotes, registry, search, toxicity, winnowing
+from lodestrata.llm import bpe, common, components, html, jaccard, kernel, licenses, mixing, quality, quotes, registry, search, toxicity, winnowing
 
 DIR = f"{DATA}/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -240,6 +240,61 @@ def test_restoring_doubled(spark):
     assert m.evidence(r.words("letter"), {}) == (3.0, 3.0, math.log1p(1)) and m.evidence(r.words("an iddiot"), {})[0] == 4.0
 
 
+def every_reading(channel, token):
+    """(cost, letters) of all paths through a token's lattice, one by one."""
+    paths = [(0.0, "")]
+    for i, c in enumerate(token):
+        paths = [(z + extra, w + x) for z, w in paths for x, _, extra in channel.arcs(c, token[i - 1] if i else "")]
+    table = channel.cost
+    code = lambda x: channel.code.get(x, 0)
+    spell = lambda w: sum(table[(code(a) * 64 + code(b)) * 64 + code(c)] for a, b, c in zip("  " + w, " " + w + " ", w + " ", strict=False))
+    return [(z + spell(w), w) for z, w in paths]
+
+
+@pytest.mark.parametrize("token", ["", "a", "stuupid", "iddiot", "1d10t", "!d!ot", "l00ser", "m*ron", "tr@sh", "aabb11", "x²y", "555", "ñoññ$", "s-t-u"])
+def test_viterbi_finds_the_cheapest_of_all_paths(spark, token):
+    channel = toxicity.Channel(toxicity.costs(np.random.default_rng(1).integers(0, 50, 64**3)))
+    cost, word = channel.best(token)
+    paths = every_reading(channel, token)
+    assert math.isclose(cost, min(p[0] for p in paths)) and any(w == word and math.isclose(z, cost) for z, w in paths)
+
+
+def test_toxicity_weights_and_scorer(spark):
+    """Weights against a plain count, and the scorer's evidence against that of all restored words."""
+    folder = f"{DATA}/sf0.01"
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").limit(400).collect()]
+    cost = toxicity.costs(toxicity.trigram_counts(spark.read.parquet(f"{folder}/documents.parquet")))
+    r = toxicity.Restorer(cost)
+    rows = [(int(i % 3 == 0 or "stupid" in (t or "")), i % 2, sorted(r.words(t, True))) for i, t in enumerate(texts)]
+    got = toxicity.weigh(spark.createDataFrame(rows, "y int, half int, words array<string>"))
+    for k, mine in enumerate((lambda h: h == 0, lambda h: h == 1, lambda h: True)):
+        n, have = collections.Counter(y for y, h, _ in rows if mine(h)), {0: collections.Counter(), 1: collections.Counter()}
+        for y, h, ws in rows:
+            if mine(h):
+                have[y].update({f for w in ws for f in toxicity.features(w)})
+        want = {}
+        for f, m in have[1].items():
+            c = have[0][f]
+            odds = math.log((m + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
+            if m >= toxicity.LEAST and c <= toxicity.COMMON * n[0] and odds > 2:
+                want[f] = odds
+        assert got[k].keys() == want.keys() and all(math.isclose(got[k][f], x) for f, x in want.items())
+    m = toxicity.Model(cost, got[2] | {"stupid": 4.0, "idio~": 4.0, "as": 2.5}, np.array([-5.0, 1, 1, 1]))
+    s = toxicity.Scorer(m)
+    odd = ["you are a s t u p i d", "1d10ts, st up id!", "a.s", "ass as", "!diot's $tupid", "x² s²tupid", None, "", "st-upid idiiot id iot"]
+    for t in texts + odd:
+        assert s.evidence(t) == m.evidence(toxicity.Restorer(cost).words(t, True) if t in odd else r.words(t, True), {})
+    assert sum(s.evidence(t)[0] > 0 for t in odd) >= 5
+
+
+def test_training_takes_an_id_once(spark):
+    rows = [(1, "b", "x"), (1, "a", "y"), (2, None, "z")] * 3
+    docs = spark.createDataFrame([(str(i), t, s) for i, t, s in rows], "doc_id string, text string, y string")
+    labels = spark.createDataFrame([("1", 1), ("1", 0), ("2", 0), (None, 1)], "doc_id string, toxic int")
+    got = common.training_rows(docs, labels, "toxic", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.y) for r in got) == [("1", 1), ("2", 0)] and {r.text for r in got} <= {"a", "b", None}
+
+
 def test_restoring_spaced(spark):
     cost = toxicity.costs(toxicity.trigram_counts(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")))
     r, m = toxicity.Restorer(cost), toxicity.Model(cost, {"idiot": 4.0, "stupid": 4.0, "loser": 4.0}, np.zeros(4))
@@ -388,6 +443,7 @@ def brute_search(rows, asked, k):
 def test_search_brute_force(spark, docs, monkeypatch, shard, block, query_words):
     monkeypatch.setattr(search, "SHARD", shard)
     monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "SEED", 3)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
     got = collections.defaultdict(list)
