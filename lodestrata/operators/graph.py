@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata import schema as S
+from lodestrata.operators import lsm
 from lodestrata.operators.mvcc import EpochClock, Transaction, latest, snapshot
 from lodestrata.operators.ordinals import number_rows, running_sum
+from lodestrata.sources.segments import SegmentStore
 
 EDGE_KEY = ["label", "src", "dst"]
+LOGS = {"edge": S.EDGE_LOG, "vertex": S.VERTEX_LOG, "delete": S.VERTEX_DELETES}
+EDGE_LOG_COLUMNS = [c.split()[0] for c in S.EDGE_LOG.split(", ")]
 
 
 class GraphTransaction(Transaction):
@@ -46,9 +50,52 @@ class Graph:
         self.next_id: dict[int, int] = {}
         self.pending: dict[str, list[tuple]] = {"edge": [], "vertex": [], "delete": []}
 
+        self.stores: dict = {}
+
     @classmethod
-    def create(cls, spark, **_) -> Graph:
-        return cls(spark.createDataFrame([], S.EDGE_LOG), spark.createDataFrame([], S.VERTEX_LOG), spark.createDataFrame([], S.VERTEX_DELETES))
+    def create(cls, spark, root: str | None = None) -> Graph:
+        """An empty graph; with a root folder one that `flush` keeps there, opened again with all that was flushed."""
+        g = cls(spark.createDataFrame([], S.EDGE_LOG), spark.createDataFrame([], S.VERTEX_LOG), spark.createDataFrame([], S.VERTEX_DELETES))
+        if root:
+            g._open(root)
+        return g
+
+    # files: edges by (label, src, dst), found by src; properties and deletions of vertices by (label, id)
+    def _open(self, root: str) -> None:
+        keys = {"edge": (EDGE_KEY, "src"), "vertex": (["label", "id"], "id"), "delete": (["label", "id"], "id")}
+        self.stores = {kind: SegmentStore(self.spark, f"{root.rstrip('/')}/{kind}", key, bound=bound, pick=lsm.pick_bytes) for kind, (key, bound) in keys.items()}
+        if known := self.stores["edge"].get_json("catalog"):
+            self.vertex_labels, self.edge_labels = known["vertex_labels"], [tuple(e) for e in known["edge_labels"]]
+            self.next_id = {int(k): v for k, v in known["next_id"].items()}
+        self.clock = EpochClock(max(s.max_epoch() for s in self.stores.values()) + 1)
+
+    def flush(self) -> None:
+        """Writes what is pending, and the labels, as files of level 0."""
+        if not self.stores:
+            return
+        for kind, schema in LOGS.items():
+            if self.pending[kind]:
+                self.stores[kind].append(_stored(self.spark.createDataFrame(self.pending[kind], schema)))
+                self.pending[kind] = []
+        self.stores["edge"].put_json("catalog", {"vertex_labels": self.vertex_labels, "edge_labels": self.edge_labels, "next_id": self.next_id})
+
+    def load_edges(self, edges: DataFrame) -> None:
+        """Writes a log of edges (EDGE_LOG columns) as files of level 0."""
+        self.stores["edge"].append(edges.select(*EDGE_LOG_COLUMNS))
+        self.clock = EpochClock(max(s.max_epoch() for s in self.stores.values()) + 1)
+
+    def merge(self, level: int = 0, oldest_pinned: int | None = None, force: bool = False) -> bool:
+        """Merges edges of a level with what they overlap below; deletions stay until the deepest level."""
+        return bool(self.stores) and self.stores["edge"].merge(S.EDGE_LOG, level, oldest_pinned, force)
+
+    def close(self) -> None:
+        self.flush()
+
+    def __enter__(self) -> Graph:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     # catalog: a handful of labels, kept on the driver
     def add_vertex_label(self, name: str) -> int:
@@ -100,7 +147,12 @@ class Graph:
         for kind, row in rows:
             self.pending[kind].append(row)
 
-    def _log(self, kind: str, base: DataFrame, schema) -> DataFrame:
+    def _log(self, kind: str, base: DataFrame, schema, low: int | None = None, high: int | None = None) -> DataFrame:
+        """All versions; of stored ones only files that may hold sources (or ids) from low to high."""
+        if self.stores and self.stores[kind].files():
+            names = base.columns
+            stored = _stored(base)
+            base = base.unionByName(self.stores[kind].read(stored.schema, low=low, high=high).toDF(*names))
         return base.unionByName(self.spark.createDataFrame(self.pending[kind], schema)) if self.pending[kind] else base
 
     @property
@@ -108,15 +160,16 @@ class Graph:
         return self._log("edge", self._edges, S.EDGE_LOG)
 
     # reading
-    def edges_asof(self, epoch: int | None = None) -> DataFrame:
-        return snapshot(self.edge_log, EDGE_KEY, epoch, ["prop"], ("epoch", "seq"))
+    def edges_asof(self, epoch: int | None = None, src: int | None = None) -> DataFrame:
+        """The live edges; src: the source that stored files are chosen by."""
+        return snapshot(self._log("edge", self._edges, S.EDGE_LOG, src, src), EDGE_KEY, epoch, ["prop"], ("epoch", "seq"))
 
     def get_edge(self, src: int, dst: int, label: str, epoch: int | None = None) -> DataFrame:
-        return self.edges_asof(epoch).where((F.col("label") == self.edge_label_id(label)) & (F.col("src") == src) & (F.col("dst") == dst)).select("prop")
+        return self.edges_asof(epoch, src).where((F.col("label") == self.edge_label_id(label)) & (F.col("src") == src) & (F.col("dst") == dst)).select("prop")
 
     def edges(self, src: int, label: str, predicate: Callable[[Column], Column] | None = None, epoch: int | None = None) -> DataFrame:
         """(dst, prop) in order of dst; predicate: a function from the property Column to a condition."""
-        return neighbours(self.edges_asof(epoch), self.edge_label_id(label), src, predicate and predicate(F.col("prop"))).orderBy("dst")
+        return neighbours(self.edges_asof(epoch, src), self.edge_label_id(label), src, predicate and predicate(F.col("prop"))).orderBy("dst")
 
     def edge_label_scan(self, label: str, predicate: Callable[[Column], Column] | None = None, epoch: int | None = None) -> DataFrame:
         rows = self.edges_asof(epoch).where(F.col("label") == self.edge_label_id(label))
@@ -136,6 +189,11 @@ class Graph:
         return self.next_id.get(self.vertex_label_id(label), 0)
 
 
+def _stored(log: DataFrame) -> DataFrame:
+    """The columns as files have them: a deletion's epoch is called epoch there."""
+    return log.withColumnRenamed("del_epoch", "epoch")
+
+
 def visible(vertices: DataFrame, deletes: DataFrame, keys, epoch: int | None = None) -> DataFrame:
     """Vertices without a deletion at or before the epoch."""
     gone = deletes if epoch is None else deletes.where(F.col("del_epoch") <= epoch)

@@ -36,7 +36,7 @@ class KvTable:
     """
 
     def __init__(self, log: DataFrame, clock: EpochClock | None = None, store=None, key_bytes: int | None = None):
-        self.fixed, self.clock, self.store, self.key_bytes = log, clock or EpochClock(), store, key_bytes
+        self.fixed, self._clock, self.store, self.key_bytes = log, clock, store, key_bytes
         self.columns = [c for c in log.columns if c not in (KEY, EPOCH, SEQ, TOMB)]
         self.order = (EPOCH, SEQ) if SEQ in log.columns else (EPOCH,)
         self.schema, self.pending = log.schema, []
@@ -47,6 +47,15 @@ class KvTable:
         schema = kv_log(columns)
         return cls(spark.createDataFrame([], schema), store=store, key_bytes=key_bytes)
 
+    @property
+    def clock(self) -> EpochClock:
+        """Made when it is first asked for: a table over a log or store that has rows goes on behind their newest epoch, which the
+        manifest knows of a store."""
+        if self._clock is None:
+            newest = self.fixed.agg(F.max(EPOCH)).first()[0] or 0
+            self._clock = EpochClock(max(newest, self.store.max_epoch() if self.store else 0) + 1)
+        return self._clock
+
     @property
     def arity(self) -> int:
         return len(self.columns)
@@ -62,7 +71,11 @@ class KvTable:
 
     @property
     def log(self) -> DataFrame:
-        parts = [self.store.read(self.schema) if self.store and self.store.files() else None, self.fixed]
+        return self._log()
+
+    def _log(self, low: str | None = None, high: str | None = None) -> DataFrame:
+        """All versions; of a store's files only those that may hold keys from low to high."""
+        parts = [self.store.read(self.schema, low=low, high=high) if self.store and self.store.files() else None, self.fixed]
         if self.pending:
             parts.append(self.fixed.sparkSession.createDataFrame(self.pending, self.schema))
         parts = [p for p in parts if p is not None]
@@ -101,13 +114,23 @@ class KvTable:
             self.store.append(self.fixed.sparkSession.createDataFrame(self.pending, self.schema))
             self.pending = []
 
+    def close(self) -> None:
+        """Flushes what is pending."""
+        self.flush()
+
+    def __enter__(self) -> KvTable:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     # reading
-    def scan(self, epoch: int | None = None, columns=None) -> DataFrame:
-        """The live rows, all or as of an epoch, with the columns asked for."""
-        return snapshot(self.log, [KEY], epoch, self.columns if columns is None else columns, self.order)
+    def scan(self, epoch: int | None = None, columns=None, low: str | None = None, high: str | None = None) -> DataFrame:
+        """The live rows, all or as of an epoch, with the columns asked for; low and high: keys that files are chosen by."""
+        return snapshot(self._log(low, high), [KEY], epoch, self.columns if columns is None else columns, self.order)
 
     def get(self, key: str, epoch: int | None = None) -> DataFrame:
-        return self.scan(epoch).where(F.col(KEY) == key)
+        return self.scan(epoch, low=key, high=key).where(F.col(KEY) == key)
 
     def multi_get(self, keys: DataFrame, epoch: int | None = None) -> DataFrame:
         """A row for each asked key (column k) with `found` and the values; misses have nulls."""
@@ -129,15 +152,15 @@ class KvTable:
         return self.scan(epoch).where(one_sided(F.col(column), op, bound))
 
     def key_range(self, low: str, high: str, epoch: int | None = None) -> DataFrame:
-        return self.scan(epoch).where(F.col(KEY).between(low, high))
+        return self.scan(epoch, low=low, high=high).where(F.col(KEY).between(low, high))
 
     def scan_k(self, start: str, k: int, epoch: int | None = None) -> DataFrame:
         """The first k live rows with key >= start, in key order (k rows of each task reach one)."""
-        return self.scan(epoch).where(F.col(KEY) >= start).orderBy(KEY).limit(k)
+        return self.scan(epoch, low=start).where(F.col(KEY) >= start).orderBy(KEY).limit(k)
 
     def iterate(self, start: str = "", epoch: int | None = None) -> Iterator[T.Row]:
         """Rows in key order, fetched a partition at a time."""
-        return self.scan(epoch).where(F.col(KEY) >= start).orderBy(KEY).toLocalIterator()
+        return self.scan(epoch, low=start).where(F.col(KEY) >= start).orderBy(KEY).toLocalIterator()
 
     def pages(self, start: str, size: int, epoch: int | None = None) -> Iterator[list[T.Row]]:
         """Keyset pages: each begins after the last key of the one before."""

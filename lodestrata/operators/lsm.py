@@ -44,7 +44,7 @@ def merge_type(w, d, recent_read, recent_write) -> Column:
 
     Without writes the first term is null, hence tiering.
     """
-    return F.when(F.sqrt(d.cast("double") / w) + recent_write.cast("double") / (recent_read + recent_write) > 1, LEVELING).otherwise(TIERING)
+    return F.when(F.sqrt(F.try_divide(d.cast("double"), w)) + recent_write.cast("double") / (recent_read + recent_write) > 1, LEVELING).otherwise(TIERING)
 
 
 def merge_decisions(accesses: DataFrame, bucket: Column, order: str, is_read: Column, is_delete: Column, window: int = 160) -> DataFrame:
@@ -78,3 +78,17 @@ def pick(files: list[dict], level: int, last: int) -> list[dict]:
         return []
     first = own[0]
     return [first, *(f for f in files if f["level"] == level + 1 and f["k_min"] <= first["k_max"] and f["k_max"] >= first["k_min"])]
+
+
+def pick_bytes(files: list[dict], level: int, last: int, memtable: int = 1 << 20, fan_in: int = 32) -> list[dict]:
+    """The same for a level of edges: over its byte limit, or at level 0, its files that overlap the one with the smallest
+    source, together with those of the next level that they overlap."""
+    own = sorted((f for f in files if f["level"] == level), key=lambda f: f["k_min"])
+    if level >= last or not own or level and sum(f["bytes"] for f in own) <= bucket_byte_limit(level, memtable, fan_in):
+        return []
+    chosen, high = [], own[0]["k_max"]
+    for f in own:
+        if f["k_min"] <= high:
+            chosen.append(f)
+            high = max(high, f["k_max"])
+    return chosen + [f for f in files if f["level"] == level + 1 and f["k_min"] <= high and f["k_max"] >= own[0]["k_min"]]

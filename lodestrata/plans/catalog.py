@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,7 +154,7 @@ def access_rollup(spark, d):
 
 @query("SELECT a.event_id AS write_epoch, min(b.event_id) - 1 AS read_epoch FROM events a JOIN events b ON b.event_id <= a.event_id AND b.event_id >= a.event_id - 99 AND b.event_id + CAST(json_extract_string(b.props, '$.k') AS INTEGER) >= a.event_id GROUP BY a.event_id")
 def txn_low_watermark(spark, d):
-    t = table(spark, d, "events").select("event_id", (F.col("event_id") + F.get_json_object("props", "$.k").cast("int")).alias("last"))
+    t = table(spark, d, "events").select("event_id", (F.col("event_id") + F.get_json_object("props", "$.k").try_cast("int")).alias("last"))
     return active_floor(t, "event_id", "last", 100)
 
 
@@ -286,3 +289,28 @@ def lineitem_status_totals(spark, d):
     return lines.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("l_quantity") * 100).cast("long")).alias("qty_cents"))
 
 
+
+
+# graphs in files
+
+
+def _stored_graph(spark: SparkSession, d: str) -> graph.Graph:
+    """The supplied edges in files of a new store in the shared folder, in two flushes."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    g = graph.Graph.create(spark, root=f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}")
+    log = edge_log(spark, d).withColumns({"prop": F.col("prop").cast("double"), "seq": F.lit(0).cast("long"), "dst": F.col("dst").cast("long")})
+    for part in (F.col("epoch") % 2 == 0, F.col("epoch") % 2 == 1):
+        g.load_edges(log.where(part))
+    return g
+
+
+@query("SELECT label, src, dst, prop FROM edge_snap")
+def edge_store_scan(spark, d):
+    return _stored_graph(spark, d).edges_asof().withColumn("dst", F.col("dst").cast("int"))
+
+
+@query("SELECT label, src, dst, prop FROM edge_snap WHERE src = 7")
+def edge_store_merge(spark, d):
+    g = _stored_graph(spark, d)
+    g.merge(force=True)
+    return g.edges_asof(src=7).where("src = 7").withColumn("dst", F.col("dst").cast("int"))

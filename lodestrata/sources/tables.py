@@ -19,4 +19,4 @@ def kv_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def edge_log(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    return e.select((F.col("event_id") % 2).cast("int").alias("label"), F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("int").alias("dst"), F.col("value").alias("prop"), (F.col("event_id") + 1).alias("epoch"), (F.col("event_type") == "error").alias("tomb"))
+    return e.select((F.col("event_id") % 2).cast("int").alias("label"), F.col("user_id").alias("src"), F.get_json_object("props", "$.k").try_cast("int").alias("dst"), F.col("value").alias("prop"), (F.col("event_id") + 1).alias("epoch"), (F.col("event_type") == "error").alias("tomb"))

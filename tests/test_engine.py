@@ -80,6 +80,72 @@ def test_segments_survive_merges(spark, tmp_path):
     assert {r.k for r in store.read(schema, low="3", high="4").where("k between '3' and '4'").collect()} == {k for k, _ in before if "3" <= k <= "4"}
 
 
+def test_reopened_store_goes_on_behind_the_newest_epoch(spark, tmp_path):
+    schema = kv_log(["v1", "v2"])
+    root = str(tmp_path / "store")
+    with KvTable(spark.createDataFrame([], schema), store=SegmentStore(spark, root)) as t:
+        for i in range(3):
+            with t.begin() as x:
+                x.put("a", f"old{i}", None)
+                x.put("b", None, f"b{i}")
+    again = KvTable(spark.createDataFrame([], schema), store=SegmentStore(spark, root))
+    with again.begin() as x:
+        x.put("a", "NEW", "w")
+        x.delete("b")
+    assert rows(again.scan()) == [("a", "NEW", "w")] and rows(again.get("b")) == []
+    again.close()
+    again.store.compact_all(schema)
+    assert rows(KvTable(spark.createDataFrame([], schema), store=SegmentStore(spark, root)).scan()) == [("a", "NEW", "w")]
+    log = spark.createDataFrame([("a", 9, 0, False, "x", None)], schema)
+    over = KvTable(log)
+    with over.begin() as x:
+        x.put("a", "y", None)
+    assert rows(over.scan()) == [("a", "y", None)]
+
+
+def test_merge_decision_without_writes(spark):
+    a = spark.createDataFrame([(1, i, "view") for i in range(3)] + [(2, 1, "error"), (3, 1, "click"), (3, 2, "error"), (3, 3, "error")], "b int, o int, kind string")
+    kind = F.col("kind")
+    got = {r.bucket: (r.w, r.d, r.merge_type) for r in lsm.merge_decisions(a, F.col("b"), "o", kind == "view", kind == "error").collect()}
+    assert got == {1: (0, 0, lsm.TIERING), 2: (0, 1, lsm.TIERING), 3: (1, 2, lsm.LEVELING)}
+
+
+def test_graph_in_files(spark, tmp_path):
+    root = str(tmp_path / "g")
+    with open_graph(spark, root=root) as g:
+        g.add_vertex_label("person")
+        g.add_edge_label("knows", "person", "person")
+        with g.begin() as x:
+            a, b, c = (x.add_vertex("person") for _ in range(3))
+            x.put_vertex("person", a, "A")
+            x.put_vertex("person", b, "B")
+            for d in (b, c):
+                x.put_edge(a, d, "knows", 1.0)
+            first = x.write_epoch
+        g.flush()
+        with g.begin() as x:
+            x.delete_edge(a, c, "knows")
+            x.put_edge(a, b, "knows", float("nan"))
+            x.delete_vertex("person", b)
+    g = open_graph(spark, root=root)
+    assert g.vertex_num("person") == 3 and g.edge_label_id("knows") == 0
+    for step in (lambda: None, lambda: g.merge(force=True, oldest_pinned=first), lambda: g.merge(1, force=True, oldest_pinned=first)):
+        step()
+        assert [d for d, _ in rows(g.edges(a, "knows"))] == [b] and rows(g.edges(a, "knows", epoch=first)) == [(b, 1.0), (c, 1.0)]
+    assert g.get_vertex(b, "person").collect() == [] and rows(g.get_vertex(a, "person")) == [("A",)]
+    with g.begin() as x:
+        x.put_edge(a, c, "knows", 7.0)
+    assert rows(g.get_edge(a, c, "knows")) == [(7.0,)]
+
+
+def test_picks():
+    f = lambda level, lo, hi, n=1, e=1: {"level": level, "k_min": lo, "k_max": hi, "bytes": n, "max_epoch": e}
+    a, b, c, d = f(0, 1, 5, e=2), f(0, 4, 9, e=1), f(0, 20, 30, e=3), f(1, 6, 8)
+    assert lsm.pick_bytes([a, b, c, d], 0, 4) == [a, b, d] and lsm.pick_bytes([d], 1, 4) == []
+    assert lsm.pick_bytes([f(1, 1, 2, 3 << 30), f(1, 5, 6)], 1, 4)[0]["k_min"] == 1
+    assert lsm.pick([a, b, c, d], 0, 4) == [b, d] and lsm.pick([d], 1, 4) == []
+
+
 def test_graph(spark):
     g = open_graph(spark)
     g.add_vertex_label("person")
