@@ -5,7 +5,7 @@ prefix that may stand behind the last token of what is left before it. So each t
 nodes' tokens are known when the walk reaches it, and words that share a prefix share its encoding. Two tokens may stand
 side by side if no merge across their border would have been made before both were complete.
 
-Texts are cut at spaces that the pre-tokenizer always cuts at; a worker keeps the ids of pieces it has seen, up to a fixed
+Texts are cut at spaces that the pre-tokenizer always cuts at; a task keeps the ids of pieces it has seen, up to a fixed
 number, and walks a trie of the new words of each batch.
 
 Nulls are encoded as empty texts; empty texts have no tokens. Any length works: a step looks at no more bytes than the
@@ -23,7 +23,9 @@ from struct import pack
 import numpy as np
 from pyspark.sql import DataFrame
 
-CACHE = 250_000  # pieces a worker keeps
+from lodestrata.llm import kernel
+
+CACHE = 250_000  # pieces a task keeps
 NEVER = 1 << 60
 # fixed values: white space of Unicode, and the cut into words of byte-level BPE
 SPACES = r"\t\n\x0B\f\r \x85\xA0  -     　"
@@ -211,21 +213,23 @@ class Encoder:
         get = known.__getitem__
         return [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in plan]) for plan in plans]
 
+    def forget(self) -> None:
+        """Lets go of what grows with the texts; a worker goes on to other tasks, of other operators too."""
+        self.pieces.clear()
+        self.v.known.clear()
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder(raw: str) -> Encoder:
     """One encoder for each worker and tokenizer file."""
-    if (key := hash(raw)) not in _encoders:
-        _encoders[key] = Encoder(raw)
-    return _encoders[key]
+    if (key := ("bpe", hash(raw))) not in kernel.KEPT:
+        kernel.KEPT[key] = Encoder(raw)
+    return kernel.KEPT[key]
 
 
-def groups(texts: list, limit: int = 1 << 21) -> Iterator[list]:
+def groups(texts: list, limit: int = 1 << 20) -> Iterator[list]:
     """Runs of about `limit` characters."""
     run, n = [], 0
     for t in texts:
@@ -243,9 +247,13 @@ def _map(df: DataFrame, keep: list[str], text: str, path: str | None, schema: st
         raw = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the data
 
     def run(batches):
+        e = encoder(raw.value)
+        yield from made_of(e, batches)
+        e.forget()
+
+    def made_of(e, batches):
         import pyarrow as pa
 
-        e = encoder(raw.value)
         for batch in batches:
             columns = [batch.column(i) for i in range(len(keep))]
             made: list[list] = []

@@ -53,6 +53,7 @@ def node_of(s: np.ndarray) -> int:
 
 def _sets(batches, column: int, n: int = WORDS):
     """(batch, sets of its rows)."""
+    kernel.release()
     for batch in batches:
         sets: list[np.ndarray] = []
         for _, buf, offsets in kernel.pieces(batch.column(column)):
@@ -112,7 +113,7 @@ def frequent(docs: DataFrame, text: str, least: int = HEAVY, most: int = MOST_HE
         for _, s in _once(batches, 0):
             held.append(s)
             n += len(s)
-            if n > 1 << 22:
+            if n > 1 << 21:
                 yield flush(held)
                 held, n = [], 0
         if held:

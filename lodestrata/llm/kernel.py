@@ -6,6 +6,10 @@ byte is touched a fixed number of times however long its text is.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -59,8 +63,21 @@ def pieces(column, limit: int = 1 << 21):
         at = to
 
 
+KEPT: dict = {}  # what an operator keeps in a worker from task to task
+
+
+def release() -> None:
+    """Lets go of what another operator has kept in this worker, which Spark hands on from one to the next."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts(batches, rows: int = 256):
     """The batches cut into small ones, without copying, so that what is made of one at a time stays small."""
+    release()
     for batch in batches:
         for at in range(0, len(batch), rows):
             yield batch.slice(at, rows)
