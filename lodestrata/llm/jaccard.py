@@ -14,13 +14,14 @@ at least 3/4, which whole-number arithmetic decides. Texts with equal sets are o
    the others are verified.
 4. Frequent tokens whose nodes are by then in one component have nothing left to find. Of the others, nodes are indexed by
    combinations of two tokens, and pairs across components become candidates; a token of a node with very many such tokens
-   stays single, with the first-token filter. So copies are connected without all their pairs, and no link is lost.
+   stays single, with the first-token filter. Signatures of whole sets, which never rule out a similar pair, leave out most
+   pairs that verification would refuse. So copies are connected without all their pairs, and no link is lost.
 
 Nulls and texts without words have empty sets, link with nothing and are components by themselves. Texts with fewer than
 five words have one token. Equal rows have the same node; rows with a null doc_id link like others, and a component's id is
-its least doc_id that is not null. Two different sets would be taken for one at a 64-bit collision, which among 10**8 texts has a
-chance of 3 in 10,000; verified sets carry so many bits of each token that a pair one token short is misjudged in less
-than one of 10 million cases. Other columns are not read.
+its least doc_id that is not null. A token is 64 bits of a hash, and pairs are verified with all of them. Two different sets would
+be taken for one at a 64-bit collision, which among 10**8 texts has a chance of 3 in 10,000. Other columns are not read. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from math import ceil, log2
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import kernel
@@ -97,7 +98,7 @@ def frequent(docs: DataFrame, text: str, least: int = HEAVY, most: int = MOST_HE
     Tasks send sorted runs of shortened hashes, dealt out by their top bits, two to three bytes a token.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = min(16, max(6, ceil(log2(size / 6 / 2e6 + 1))))
+    bits = min(24, max(6, ceil(log2(size / 6 / 2e6 + 1))))
 
     def cut(batches):
         import pyarrow as pa
@@ -122,21 +123,32 @@ def frequent(docs: DataFrame, text: str, least: int = HEAVY, most: int = MOST_HE
     def count(batches):
         import pyarrow as pa
 
-        def close(bucket, runs):
-            v, c = np.unique(np.concatenate(runs), return_counts=True)
+        def merged(parts):
+            v = np.concatenate([p[0] for p in parts])
+            order = np.argsort(v, kind="stable")
+            v = v[order]
+            at = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            return v[at], np.add.reduceat(np.concatenate([p[1] for p in parts])[order], at)
+
+        def close(bucket, parts):
+            v, c = merged(parts)
             at = c >= least
             return pa.RecordBatch.from_arrays([pa.array((np.uint64(bucket) << np.uint64(32) | v[at].astype(np.uint64)).astype(np.int64)), pa.array(c[at].astype(np.int64))], names=["token", "df"])
 
-        bucket, runs = None, []
+        bucket, parts, held = None, [], 0
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b != bucket and runs:
-                    yield close(bucket, runs)
-                    runs = []
+                if b != bucket and parts:
+                    yield close(bucket, parts)
+                    parts, held = [], 0
                 bucket = b
-                runs.append(unpack(raw))
-        if runs:
-            yield close(bucket, runs)
+                run = unpack(raw)
+                parts.append((run, np.ones(len(run), np.int64)))
+                held += len(run)
+                if held > 1 << 22:  # a token in very many texts is held as a number only
+                    parts, held = [merged(parts)], 0
+        if parts:
+            yield close(bucket, parts)
 
     runs = _texts(docs, text).mapInArrow(cut, "bucket int, run binary").repartition("bucket").sortWithinPartitions("bucket")
     top = runs.mapInArrow(count, "token long, df long").orderBy(F.col("df").desc(), "token").limit(most).toPandas()  # `most` rows at most
@@ -289,19 +301,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def shortened(s: np.ndarray) -> bytes:
-    """A sorted set as compressed differences of its tokens' upper bits: 24 bits and twice as many as the set's size has, so
-    that two different tokens of a pair of sets look alike in less than one of 10 million pairs."""
-    bits = min(64, 24 + 2 * max(1, int(len(s)).bit_length()))
-    d = np.diff(s >> np.uint64(64 - bits), prepend=np.uint64(0)).astype("<u8")
-    return bytes((bits,)) + zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def lengthened(raw: bytes) -> tuple[int, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(8, -1)
-    return raw[0], np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
 def sets_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     """(node, set) of the asked nodes, made anew from the texts: only these are shuffled."""
 
@@ -313,7 +312,7 @@ def sets_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
 
         held: list[tuple[int, bytes]] = []
         for node, s in _once(batches, 0):
-            held.append((node, shortened(s)))
+            held.append((node, s.tobytes()))
             if len(held) >= 512:
                 yield batch(held)
                 held = []
@@ -333,12 +332,11 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                (p, s), (q, t) = lengthened(x), lengthened(y)
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if 4 * min(len(s), len(t)) < 3 * max(len(s), len(t)):
                     keep.append(False)
                     continue
-                bits = min(p, q)
-                both = np.sort(np.concatenate((s >> np.uint64(p - bits), t >> np.uint64(q - bits))), kind="stable")
+                both = np.sort(np.concatenate((s, t)), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(4 * common >= 3 * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
@@ -372,19 +370,52 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)))
 
 
-def star_rounds(entries: DataFrame, labels: DataFrame, tested: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """(components, tested pairs) after stars round other nodes of frequent tokens that are still mixed.
+def signatures(sets: DataFrame) -> DataFrame:
+    """(node, sig): for each bit of 64 * len(sig), whether an odd number of the set's tokens fall on it. Two signatures of one
+    length differ in no more bits than their sets have tokens that only one of them holds. Long sets have long signatures,
+    by powers of two from 8 to 64 numbers; halves folded onto each other make a signature of half the length."""
 
-    Centers are the least nodes by a hash that differs from round to round, so tokens of one group of copies share them;
-    a round makes CENTERS pairs at most for an entry.
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for raw in batch.column(1).to_pylist():
+                s = kernel.mix(np.frombuffer(raw, np.uint64))
+                bits = 64 * min(64, max(8, 1 << (-(-len(s) // 32) - 1).bit_length()))
+                odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                rows.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "sig"])
+
+    return sets.mapInArrow(run, "node long, sig array<long>")
+
+
+def alike(sig1, n1, sig2, n2):
+    """Whether the signatures leave it open that the sets are similar: those have (n1 + n2) / 7 tokens at most that one of them
+    lacks."""
+    fold = lambda s, k: F.zip_with(F.slice(s, F.lit(1), k), F.slice(s, k + 1, k), lambda x, y: x.bitwiseXOR(y))
+    one = F.when(F.size(sig1) > F.size(sig2), fold(sig1, F.size(sig2))).otherwise(sig1)
+    two = F.when(F.size(sig2) > F.size(sig1), fold(sig2, F.size(sig1))).otherwise(sig2)
+    differ = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return 7 * differ <= n1 + n2
+
+
+def star_rounds(entries: DataFrame, labels: DataFrame, tested: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(components, tested pairs, entries that are still mixed, sets of their nodes) after stars round other nodes of frequent tokens that are still mixed.
+
+    A token's nodes are dealt to CENTERS classes by a hash that differs from round to round; each class has as its center the node
+    that has the most mixed tokens in its prefix, so the fewest rare ones of its own: it lies nearest to the text that its
+    group has in common. Classes are aggregated before the shuffle; a round makes CENTERS pairs at most for an entry.
     """
     e = mixed(entries, labels)
     if e.isEmpty():
-        return labels, tested
+        return labels, tested, e, None
     sets = written(sets_of(docs, text, e.select("node")))
     for r in range(ROUNDS):
-        order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(r)))
-        c = e.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= CENTERS).select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("component").alias("_component"))
+        load = e.groupBy("node").agg(F.count(F.lit(1)).alias("f"))
+        hashed = F.xxhash64("node", F.lit(r))
+        best = e.join(load, "node").groupBy("token", F.pmod(hashed, F.lit(CENTERS)).alias("_class")).agg(F.max(F.struct("f", hashed.alias("h"), "node", "n", "component")).alias("c"))
+        c = small(written(best.select("token", F.col("c.node").alias("_node"), F.col("c.n").alias("_n"), F.col("c.component").alias("_component"))))
         near = e.join(c, "token").where((F.col("component") != F.col("_component")) & (4 * F.least("n", "_n") >= 3 * F.greatest("n", "_n")))
         pairs = written(near.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(pairs)
@@ -392,13 +423,13 @@ def star_rounds(entries: DataFrame, labels: DataFrame, tested: DataFrame, docs:
         e = mixed(entries, labels)
         if e.isEmpty():
             break
-    return labels, tested
+    return labels, tested, e, sets
 
 
-def open_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Candidate pairs across components from frequent tokens; None if there are none."""
-    e = mixed(entries, labels)
-    if e.isEmpty():
+def open_pairs(e: DataFrame, sets: DataFrame | None) -> DataFrame | None:
+    """Candidate pairs across components from frequent tokens, under length, positional and signature filters; None if there
+    are none. e: mixed entries; sets: those of their nodes."""
+    if sets is None or e.isEmpty():
         return None
     load = e.groupBy("node").agg(F.count(F.lit(1)).alias("f"))
     wide = e.join(load.where(F.col("f") > COMBINED), "node", "left_semi").select("token").distinct()
@@ -410,10 +441,11 @@ def open_pairs(entries: DataFrame, labels: DataFrame) -> DataFrame | None:
     combined = first.select(F.col("x.token").alias("k1"), F.explode(F.slice("ts", F.col("i") + 2, F.lit(COMBINED))).alias("y"), "node", "n", "component").select("k1", F.col("y.token").alias("k2"), "node", "n", F.col("y.pos").alias("pos"), "component", F.lit(2).alias("shared"))
     keyed = written(single.union(combined))
     mixed_keys = keyed.groupBy("k1", "k2").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("k1", "k2")
-    keyed = keyed.join(mixed_keys, ["k1", "k2"], "left_semi")
-    other = keyed.select("k1", "k2", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
+    keyed = keyed.join(mixed_keys, ["k1", "k2"], "left_semi").join(written(signatures(sets)), "node")
+    other = keyed.select("k1", "k2", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"), F.col("sig").alias("sig2"))
     rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1 + F.col("shared")
     ok = (F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & (4 * F.least("n", "n2") >= 3 * F.greatest("n", "n2")) & (7 * rest >= 3 * (F.col("n") + F.col("n2")))
+    ok = ok & alike(F.col("sig"), F.col("n"), F.col("sig2"), F.col("n2"))
     return keyed.join(other, ["k1", "k2"]).where(ok).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
 
 
@@ -460,9 +492,9 @@ def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     stars = written(found.where("kind = 2").select("a", "b").distinct())
     entries = found.where("kind = 1").select("token", F.col("a").alias("node"), "n", "pos")
     labels = written(components(verify(stars, sets_of(docs, text, ends(stars)))))
-    labels, tested = star_rounds(entries, labels, stars, docs, text)
+    labels, tested, e, sets = star_rounds(entries, labels, stars, docs, text)
     pairs = across(found.where("kind = 0").select("a", "b").distinct(), labels)
-    more = open_pairs(entries, labels)
+    more = open_pairs(e, sets)
     rest = written((pairs if more is None else pairs.union(more)).distinct().join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = relabelled(labels, verify(rest, sets_of(docs, text, ends(rest))))

@@ -122,9 +122,6 @@ def test_kernel_words_and_packing():
     for _, buf, offsets in kernel.pieces(pa.array(texts), 4):
         starts, ends, at = kernel.words(buf, offsets)
         assert len(starts) == len(ends) and at[-1] == len(starts)
-    s = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
-    bits, got = jaccard.lengthened(jaccard.shortened(s))
-    assert (got == s >> np.uint64(64 - bits)).all()
     assert (jaccard.unpack(jaccard.pack(np.array([1, 1, 7, 2**32 - 1]))) == np.array([1, 1, 7, 2**32 - 1])).all()
 
 
@@ -397,6 +394,43 @@ def test_quotes_of_parts_and_of_nothing(spark):
     assert got[4].body == "> a saying from outside\n\nSee:\n>>> print(1)\n1\nDone." and (got[4].n_quotes, got[4].n_linked) == (3, 1)
 
 
+def test_quotes_long_conversations(spark):
+    rows = [(c, t, "u", f"{c} says {t}") for c in (1, None) for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {c: "\n".join(f"<|u|>\n{c} says {t}" for t in range(3000)) for c in (1, None)}
+    assert {r.conv_id: (r.part, r.n_turns, r.text) for r in quotes.conversations(df).collect()} == {c: (0, 3000, want[c]) for c in want}
+    parts = quotes.conversations(df, part_bytes=5000).collect()
+    assert len(parts) > 8 and max(len(r.text) for r in parts) < 5100
+    for c in want:
+        assert "\n".join(r.text for r in sorted(parts, key=lambda r: r.part) if r.conv_id == c) == want[c]
+
+
+def test_signatures_never_rule_out_similar_sets(spark):
+    rng = np.random.default_rng(3)
+    rows, truth = [], {}
+    for i in range(60):
+        n = int(rng.integers(1, 900))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.uniform(0.6, 1)], rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 4))).astype(np.uint64))))
+        if len(b):
+            rows += [(2 * i, a.tobytes(), len(a)), (2 * i + 1, b.tobytes(), len(b))]
+            both = len(np.intersect1d(a, b))
+            truth[i] = 4 * both >= 3 * (len(a) + len(b) - both)
+    sizes = {r[0]: r[2] for r in rows}
+    sig = jaccard.signatures(spark.createDataFrame([r[:2] for r in rows], "node long, tokens binary"))
+    one, two = (sig.where(F.col("node") % 2 == k).select(F.floor(F.col("node") / 2).alias("i"), F.col("sig").alias(f"s{k}")) for k in (0, 1))
+    n = spark.createDataFrame([(i, sizes[2 * i], sizes[2 * i + 1]) for i in truth], "i long, n0 int, n1 int")
+    got = {r.i: r.ok for r in one.join(two, "i").join(n, "i").select("i", jaccard.alike(F.col("s0"), F.col("n0"), F.col("s1"), F.col("n1")).alias("ok")).collect()}
+    assert any(truth.values()) and all(got[i] for i in truth if truth[i]) and not all(got.values())
+
+
+def test_mixing_takes_columns_of_its_own_names(spark, edge):
+    df = edge.withColumns({"_shard": F.lit(1), "_size": F.lit("x"), "kept_shard": F.lit(2)})
+    plain, got = mixing.apply(edge), mixing.apply(df)
+    assert got.columns == df.columns
+    assert sorted(map(repr, got.select(*edge.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_chats_whole_table(spark):
     rows = spark.read.parquet(f"{DIR}/conversations.parquet").collect()
     want = collections.defaultdict(list)
