@@ -10,8 +10,9 @@ a message, then the replies to it by turn, and so on; messages that quote nobody
 without quotes that are found, as a line <|role|> and the text.
 
 Only messages with a quote are cut into lines and joined; paths from the root grow by pointer doubling, so the rounds
-go with the logarithm of the deepest thread. A conversation comes out in parts of PART messages, one for nearly all, so
-that no row or task holds an unbounded one.
+go with the logarithm of the deepest thread. A conversation is put in order in blocks of roots (BLOCK turns each), whose
+lengths are then added up, so a very long one isn't one task's work. It comes out as one row; one of more than PART_BYTES, which
+no row should hold, as several, numbered by part, whose texts joined by line feeds are the whole.
 
 Nulls: a null conv_id is a conversation of its own; null turns come first and have no earlier messages; a null text is
 empty, a null role is written as an empty name. Empty texts stay as turns. Repeated rows stay, side by side. A quote that
@@ -29,7 +30,8 @@ MARKS = r"^[ \t]?(?:>[ \t]?)+"
 QUOTED = r"(?m)^[ \t]?>"
 PARAGRAPH = r"\r?\n[ \t]*\r?\n"
 SENTENCE = r"(?<=[.!?…。！？])"
-PART = 256
+PART_BYTES = 16 << 20  # of text in a row of a conversation; only longer conversations have several rows
+BLOCK = 1024  # turns of roots that are put in order together
 
 
 def normal(c: Column) -> Column:
@@ -121,11 +123,22 @@ def thread(messages: DataFrame) -> DataFrame:
     return base.join(paths, base["conv_id"].eqNullSafe(paths["c2"]) & (base["turn"] == paths["t2"]), "left").withColumn("path", F.coalesce("path", F.array(F.coalesce("turn", F.lit(-1))))).drop("c2", "t2", "quoting", "msg")
 
 
-def conversations(messages: DataFrame) -> DataFrame:
+def conversations(messages: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """(conv_id, part, n_turns, n_quotes, n_linked, text): conversations in reply order without quotes."""
-    t = thread(messages)
-    order = Window.partitionBy("conv_id").orderBy("path", F.col("turn").asc_nulls_first(), "role", "text")
-    placed = t.withColumn("pos", F.row_number().over(order)).withColumn("part", F.floor((F.col("pos") - 1) / PART).cast("int"))
     turn = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("body"))
-    out = placed.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n_turns"), F.sum("n_quotes").alias("n_quotes"), F.sum("n_linked").alias("n_linked"), F.array_sort(F.collect_list(F.struct("pos", turn.alias("t")))).alias("turns"))
-    return out.select("conv_id", "part", "n_turns", "n_quotes", "n_linked", F.array_join(F.transform("turns", lambda x: x["t"]), "\n").alias("text"))
+    t = thread(messages).withColumns({"_block": F.floor(F.col("path")[0] / BLOCK), "_turn": turn, "_bytes": F.octet_length(turn).cast("long") + 1})
+    order = Window.partitionBy("conv_id", "_block").orderBy("path", F.col("turn").asc_nulls_first(), "role", "text")
+    t = t.withColumns({"_pos": F.row_number().over(order), "_to": F.sum("_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    # a row for each block: BLOCK roots and more
+    blocks = block_starts(t).select(F.col("conv_id").alias("_c"), F.col("_block").alias("_b"), "_before")
+    placed = t.join(blocks, t["conv_id"].eqNullSafe(blocks["_c"]) & (t["_block"] == blocks["_b"]))
+    placed = placed.withColumn("part", F.floor((F.col("_before") + F.col("_to") - F.col("_bytes")) / part_bytes).cast("int"))
+    out = placed.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n_turns"), F.sum("n_quotes").alias("n_quotes"), F.sum("n_linked").alias("n_linked"), F.array_sort(F.collect_list(F.struct("_block", "_pos", "_turn"))).alias("turns"))
+    return out.select("conv_id", "part", "n_turns", "n_quotes", "n_linked", F.array_join(F.transform("turns", lambda x: x["_turn"]), "\n").alias("text"))
+
+
+def block_starts(t: DataFrame) -> DataFrame:
+    """(conv_id, _block, _before): the bytes of a conversation before each of its blocks."""
+    sizes = t.groupBy("conv_id", "_block").agg(F.sum("_bytes").alias("_n"))
+    before = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
