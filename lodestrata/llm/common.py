@@ -22,10 +22,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset, as in tests with one
-    machine, a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and
+    Spark runs on one machine, as in tests, a temporary folder; on a cluster that would be lost to the executors: an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

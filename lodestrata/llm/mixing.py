@@ -8,7 +8,8 @@ shard as often as the quota asks for. So no task holds more than a shard, howeve
 
 Nulls in text count as empty: size 0, taken 0. A null source is a source of its own, last in order. Null doc_ids take part
 like any other. Repeated rows stand side by side in the order and are taken by themselves. Empty tables give empty results.
-Ties of quotients go to the earlier source or shard. Other columns are kept and never read.
+Ties of quotients go to the earlier source or shard. Other columns are kept and never read; `mix` adds columns
+whose names begin with _, so its input should have none such, while `apply` takes columns of any name.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import BLANK, WORD, written
+from lodestrata.llm.common import BLANK, WORD, fresh, written
 
 CAP = 3  # times its own size that a source may be taken
 BLOCK = 16  # words of a block
@@ -106,7 +107,12 @@ def taken(at: Column, n: Column, words: Column, start: Column, length: Column) -
 
 def apply(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each text once for every full lap, and the part of it, cut at words, that
-    a partial lap takes. Texts that are not taken are left out."""
+    a partial lap takes. Texts that are not taken are left out. Columns whose names begin with _ are renamed while it works."""
+    columns = docs.columns
+    plain: list[str] = []
+    for c in columns:
+        plain.append(fresh([*columns, *plain], f"kept{c}") if c.startswith("_") else c)
+    docs = docs.toDF(*plain)
     m = mix(docs, **options)
     text = options.get("text", "text")
     laps = F.when(F.col("_shard_words") > 0, F.floor(F.col("_length") / F.col("_shard_words"))).otherwise(0)
@@ -122,4 +128,4 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     piece = F.when(F.col("_part") == F.col("_size"), F.col(text)).otherwise(F.array_join(F.concat(cut(F.lit(0), F.col("_head")), cut(F.col("_skip"), F.col("_tail"))), ""))
     whole = F.array_repeat(F.col(text), F.col("_laps").cast("int"))
     m = m.withColumn("_texts", F.when(F.col("_part") > 0, F.concat(whole, F.array(piece))).otherwise(whole))
-    return m.where(F.size("_texts") > 0).withColumn("_text", F.explode("_texts")).select(*[F.col("_text").alias(c) if c == text else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return m.where(F.size("_texts") > 0).withColumn("_text", F.explode("_texts")).select(*[F.col("_text").alias(c) if c == text else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]).toDF(*columns)
