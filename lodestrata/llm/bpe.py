@@ -5,8 +5,8 @@ prefix that may stand behind the last token of what is left before it. So each t
 nodes' tokens are known when the walk reaches it, and words that share a prefix share its encoding. Two tokens may stand
 side by side if no merge across their border would have been made before both were complete.
 
-Texts are cut at spaces that the pre-tokenizer always cuts at; a task keeps the ids of pieces it has seen, up to a fixed
-number, and walks a trie of the new words of each batch.
+Texts are cut at spaces that the pre-tokenizer always cuts at; a task keeps the ids of pieces and words it has met, up to a
+fixed number, and walks the trie of the new words of each batch, whose leaves in the walk's order are the words sorted.
 
 Nulls are encoded as empty texts; empty texts have no tokens. Any length works: a step looks at no more bytes than the
 longest token has. Repeated rows give repeated results; other columns are not read.
@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 
 from lodestrata.llm import kernel
 
-CACHE = 250_000  # pieces a task keeps
+CACHE = 125_000  # pieces a task keeps of those met last, and as many of those met before
+PAIRS = 1 << 19  # pairs of tokens of which a worker keeps whether they may be neighbours
 NEVER = 1 << 60
 # fixed values: white space of Unicode, and the cut into words of byte-level BPE
 SPACES = r"\t\n\x0B\f\r \x85\xA0  -     　"
@@ -73,11 +74,13 @@ class Vocabulary:
         for i, s in sorted((x for x in self.bytes_of.items() if x[0] not in special), key=lambda x: len(x[1])):
             if self.reachable(i):
                 self.ids[s] = i
-        self.known: dict[int, bool] = {}
+        self.fit: set[int] = set()
+        self.unfit: set[int] = set()
+        self.sizes = {i: len(s) for s, i in self.ids.items()}
         self.state_bytes = [b"", *sorted({t[:n] for t in self.ids for n in range(1, len(t) + 1)})]
         self.state_of = {s: i for i, s in enumerate(self.state_bytes)}
         self.steps: dict[int, int] = {}
-        self.endings: dict[int, list[tuple[int, int]]] = {}
+        self.endings: list[list[tuple[int, int]] | None] = [None] * len(self.state_bytes)
 
     def reachable(self, token: int) -> bool:
         """Whether the token is the encoding of its own bytes. Parts are asked about before wholes."""
@@ -109,13 +112,14 @@ class Vocabulary:
                     return False
         return True
 
-    def neighbours(self, a: int, b: int) -> bool:
-        known = self.known.get(a << 32 | b)
-        if known is None:
-            if len(self.known) > 1 << 19:
-                self.known.clear()
-            known = self.known[a << 32 | b] = self.apart(a, b)
-        return known
+    def neighbours(self, pair: int) -> bool:
+        """Whether two tokens, the first << 32 | the second, may stand side by side. Known ones are kept, up to a number."""
+        if len(self.fit) + len(self.unfit) > PAIRS:
+            self.fit.clear()
+            self.unfit.clear()
+        ok = self.apart(pair >> 32, pair & 0xFFFFFFFF)
+        (self.fit if ok else self.unfit).add(pair)
+        return ok
 
     def step(self, state: int, byte: int) -> int:
         """The state after one more byte: states are the beginnings of tokens, and a state stands for the longest one that
@@ -133,44 +137,43 @@ class Vocabulary:
         return found
 
 
-def encode_words(v: Vocabulary, words: Iterable[bytes]) -> dict[bytes, bytes]:
-    """The ids of each distinct word, as little-endian 32-bit integers."""
-    root: dict = {}
-    for w in words:
-        node = root
-        for b in w:
-            node = node[b] if b in node else node.setdefault(b, {})
-        node[-1] = w
-    out: dict[bytes, bytes] = {}
-    steps, endings, known = v.steps, v.endings, v.known
-    last, size = [], []  # by depth: the last token of the prefix and its length
-    stack = [(0, 0, root)]
-    while stack:
-        depth, state, node = stack.pop()
-        if depth:
-            del last[depth - 1 :], size[depth - 1 :]
-            for n, token in endings.get(state) or v.suffixes(state):
+def encode_words(v: Vocabulary, words: set[str]) -> dict[str, bytes]:
+    """The ids of each word, as little-endian 32-bit integers. Sorted words are the trie's leaves in the order of a depth-first
+    walk: a word goes on at the node where it leaves the path of the word before."""
+    out: dict[str, bytes] = {}
+    steps, endings, fit, unfit, sizes = v.steps, v.endings, v.fit, v.unfit, v.sizes
+    longest = max((len(w.encode()) for w in words), default=0)
+    last, states = [0] * (longest + 1), [0] * (longest + 1)  # of the path, by depth: the prefix's last token << 32, the state
+    path = b""
+    for word in sorted(words):
+        w, depth = word.encode(), 0
+        for x, y in zip(path, w):  # noqa: B905
+            if x != y:
+                break
+            depth += 1
+        state = states[depth]
+        for x in w[depth:]:
+            key = state << 8 | x
+            state = steps[key] if key in steps else v.step(state, x)
+            depth += 1
+            for n, token in endings[state] or v.suffixes(state):
                 if n == depth:
                     break
-                before = last[depth - n - 1]
-                fits = known.get(before << 32 | token)
-                if fits or (fits is None and v.neighbours(before, token)):
+                pair = last[depth - n] | token
+                if pair in unfit:
+                    continue
+                if pair in fit or v.neighbours(pair):
                     break
             else:
                 raise ValueError("a byte is not in the vocabulary")
-            last.append(token)
-            size.append(n)
-        for x, child in node.items():
-            if x == -1:
-                tokens, at = [], depth
-                while at:
-                    tokens.append(last[at - 1])
-                    at -= size[at - 1]
-                tokens.reverse()
-                out[child] = pack(f"<{len(tokens)}I", *tokens)
-            else:
-                to = steps.get(state << 8 | x)
-                stack.append((depth + 1, v.step(state, x) if to is None else to, child))
+            last[depth], states[depth] = token << 32, state
+        path = w
+        tokens = []
+        while depth:
+            tokens.append(token := last[depth] >> 32)
+            depth -= sizes[token]
+        tokens.reverse()
+        out[word] = pack(f"<{len(tokens)}I", *tokens)
     return out
 
 
@@ -183,6 +186,7 @@ class Encoder:
         self.cut = re.compile(rf" (?<=[^{SPACES}] )(?=[^{SPACES}])").split  # the literal first, which is searched for fastest
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")").split if self.v.special else None
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def cuts(self, text: str) -> list[str]:
         """Pieces that begin where a word must begin: at a single space between other characters."""
@@ -191,10 +195,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         plans: list[list] = []
-        missing: set[str] = set()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        known = self.pieces
+        met: set[str] = set()
         for t in texts:
             plan: list = []
             for part in self.specials(t or "") if self.specials and any(s in (t or "") for s in self.v.special) else [t or ""]:
@@ -202,21 +203,35 @@ class Encoder:
                     plan.append(np.array([self.v.special[part]], "<u4").tobytes())
                 elif part:
                     cuts = self.cuts(part)
-                    missing.update(c for c in cuts if c not in known)
+                    met.update(cuts)
                     plan.append(cuts)
             plans.append(plan)
-        if missing:
-            split = {m: [w.encode() for w in self.words(m)] for m in missing}
-            got = encode_words(self.v, {w for ws in split.values() for w in ws})
-            for m, ws in split.items():
-                known[m] = got[ws[0]] if len(ws) == 1 else b"".join([got[w] for w in ws])
+        if len(self.pieces) > CACHE:
+            self.older, self.pieces = self.pieces, {}
+        known, older = self.pieces, self.older
+        met.difference_update(known)
+        split = []  # pieces of several words; a word is a piece of its own
+        new = set()
+        for m in met:
+            if m in older:
+                known[m] = older[m]
+            elif len(ws := self.words(m)) > 1:
+                split.append((m, ws))
+                new.update(ws)
+            else:
+                new.add(m)
+        new.difference_update(known)
+        for w in new.intersection(older):
+            known[w] = older[w]
+        known.update(encode_words(self.v, new.difference(older)))
         get = known.__getitem__
+        for m, ws in split:
+            known[m] = b"".join(map(get, ws))
         return [b"".join([p if isinstance(p, bytes) else b"".join(map(get, p)) for p in plan]) for plan in plans]
 
     def forget(self) -> None:
         """Lets go of what grows with the texts; a worker goes on to other tasks, of other operators too."""
-        self.pieces.clear()
-        self.v.known.clear()
+        self.pieces, self.older = {}, {}
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

@@ -460,6 +460,33 @@ def test_bpe_same_as_library(spark, docs, edge, empty):
     assert bpe.encode(empty, ["doc_id"]).collect() == []
 
 
+def test_bpe_walks_a_word_once(monkeypatch):
+    walked = []
+    walk = bpe.encode_words
+    monkeypatch.setattr(bpe, "encode_words", lambda v, words: walked.extend(words) or walk(v, words))
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        e = bpe.Encoder(f.read())
+    for texts in (["say hello world"], ["say hello, hello; world! world"], ["(hello) world?"]):
+        e.encode(texts)
+    assert len(walked) == len(set(walked))
+
+
+def test_bpe_small_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    monkeypatch.setattr(bpe, "CACHE", 20)
+    monkeypatch.setattr(bpe, "PAIRS", 8)
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        e = bpe.Encoder(f.read())
+    rng = random.Random(5)
+    for _ in range(100):
+        texts = [" ".join("".join(rng.choices("abtheé中!'s1", k=rng.randint(1, 5))) for _ in range(4)) for _ in range(3)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert len(e.pieces) + len(e.older) <= 160
+
+
 def brute_search(rows, asked, k):
     words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW)) for _, t in rows]
     tf = [collections.Counter(w) for w in words]
