@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from struct import pack
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from lodestrata.llm import kernel
 
-CACHE = 125_000  # pieces a task keeps of those met last, and as many of those met before
+CACHE = 60_000  # pieces a task keeps of those met last, and as many of those met before
 PAIRS = 1 << 19  # pairs of tokens of which a worker keeps whether they may be neighbours
 NEVER = 1 << 60
 # fixed values: white space of Unicode, and the cut into words of byte-level BPE
@@ -67,8 +68,6 @@ class Vocabulary:
             self.rank[i, j] = r
             if whole not in self.parts:
                 self.parts[whole], self.made[whole] = (i, j), r
-        self.right: dict[int, list[tuple[int, int]]] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {}
         special = set(self.special.values())
         self.ids = {}
         for i, s in sorted((x for x in self.bytes_of.items() if x[0] not in special), key=lambda x: len(x[1])):
@@ -76,9 +75,10 @@ class Vocabulary:
                 self.ids[s] = i
         self.fit: set[int] = set()
         self.unfit: set[int] = set()
-        self.sizes = {i: len(s) for s, i in self.ids.items()}
+        self.ending: list[tuple[int, int] | None] = [None] * (max(self.bytes_of) + 1)  # by token, one object for all states
+        for s, i in self.ids.items():
+            self.ending[i] = len(s), i
         self.state_bytes = [b"", *sorted({t[:n] for t in self.ids for n in range(1, len(t) + 1)})]
-        self.state_of = {s: i for i, s in enumerate(self.state_bytes)}
         self.steps: dict[int, int] = {}
         self.endings: list[list[tuple[int, int]] | None] = [None] * len(self.state_bytes)
 
@@ -91,22 +91,19 @@ class Vocabulary:
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens that touch one end of a token while it grows, each with the merge that swallows it."""
-        spines = (self.left, self.right)[side]
-        if token not in spines:
-            out, t, until = [], token, NEVER
-            while True:
-                out.append((t, until))
-                if t not in self.parts:
-                    break
-                t, until = self.parts[t][side], self.made[t]
-            spines[token] = out
-        return spines[token]
+        out, until = [], NEVER
+        while token in self.parts:
+            out.append((token, until))
+            token, until = self.parts[token][side], self.made[token]
+        out.append((token, until))
+        return out
 
     def apart(self, a: int, b: int, before: int = NEVER) -> bool:
         """No merge across the border of a and b is made earlier than `before`. Of equal merges the leftmost is first."""
         rank = self.rank
+        ends = self.edge(b, 0)
         for x, x_until in self.edge(a, 1):
-            for y, y_until in self.edge(b, 0):
+            for y, y_until in ends:
                 m = rank.get((x, y))
                 if m is not None and m < before and m < x_until and m <= y_until:
                     return False
@@ -125,15 +122,15 @@ class Vocabulary:
         """The state after one more byte: states are the beginnings of tokens, and a state stands for the longest one that
         the bytes so far end in. Each step is looked for once and then remembered."""
         end = self.state_bytes[state] + bytes((byte,))
-        while end not in self.state_of:
+        while (to := bisect_left(self.state_bytes, end)) == len(self.state_bytes) or self.state_bytes[to] != end:
             end = end[1:]
-        to = self.steps[state << 8 | byte] = self.state_of[end]
+        self.steps[state << 8 | byte] = to
         return to
 
     def suffixes(self, state: int) -> list[tuple[int, int]]:
         """(length, token) of the tokens that a state's bytes end in, longest first."""
         end = self.state_bytes[state]
-        found = self.endings[state] = [(len(end) - i, self.ids[end[i:]]) for i in range(len(end)) if end[i:] in self.ids]
+        found = self.endings[state] = [self.ending[self.ids[end[i:]]] for i in range(len(end)) if end[i:] in self.ids]
         return found
 
 
@@ -141,7 +138,7 @@ def encode_words(v: Vocabulary, words: set[str]) -> dict[str, bytes]:
     """The ids of each word, as little-endian 32-bit integers. Sorted words are the trie's leaves in the order of a depth-first
     walk: a word goes on at the node where it leaves the path of the word before."""
     out: dict[str, bytes] = {}
-    steps, endings, fit, unfit, sizes = v.steps, v.endings, v.fit, v.unfit, v.sizes
+    steps, endings, fit, unfit, ending = v.steps, v.endings, v.fit, v.unfit, v.ending
     longest = max((len(w.encode()) for w in words), default=0)
     last, states = [0] * (longest + 1), [0] * (longest + 1)  # of the path, by depth: the prefix's last token << 32, the state
     path = b""
@@ -171,7 +168,7 @@ def encode_words(v: Vocabulary, words: set[str]) -> dict[str, bytes]:
         tokens = []
         while depth:
             tokens.append(token := last[depth] >> 32)
-            depth -= sizes[token]
+            depth -= ending[token][0]
         tokens.reverse()
         out[word] = pack(f"<{len(tokens)}I", *tokens)
     return out
@@ -240,11 +237,12 @@ class Encoder:
 def encoder(raw: str) -> Encoder:
     """One encoder for each worker and tokenizer file."""
     if (key := ("bpe", hash(raw))) not in kernel.KEPT:
+        kernel.trim()
         kernel.KEPT[key] = Encoder(raw)
     return kernel.KEPT[key]
 
 
-def groups(texts: list, limit: int = 1 << 20) -> Iterator[list]:
+def groups(texts: list, limit: int = 1 << 19) -> Iterator[list]:
     """Runs of about `limit` characters."""
     run, n = [], 0
     for t in texts:
@@ -265,6 +263,7 @@ def _map(df: DataFrame, keep: list[str], text: str, path: str | None, schema: st
         e = encoder(raw.value)
         yield from made_of(e, batches)
         e.forget()
+        kernel.trim()
 
     def made_of(e, batches):
         import pyarrow as pa

@@ -460,7 +460,8 @@ def members(docs: DataFrame, doc_id: str, text: str, extra: list[str]) -> DataFr
 
     own = docs.select(doc_id, F.col(text).cast("binary").alias("_t"), *extra)
     f = own.schema.fields
-    return own.mapInArrow(run, ", ".join([f"`{doc_id}` {f[0].dataType.simpleString()}", "n_shingles long", "node long", *[f"`{x.name}` {x.dataType.simpleString()}" for x in f[2:]]]))
+    # the last Python of a deduplication: each worker gets a task, and is small when other stages follow
+    return own.mapInArrow(kernel.trimmed(run), ", ".join([f"`{doc_id}` {f[0].dataType.simpleString()}", "n_shingles long", "node long", *[f"`{x.name}` {x.dataType.simpleString()}" for x in f[2:]]]))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

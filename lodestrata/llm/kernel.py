@@ -71,8 +71,27 @@ def release() -> None:
     if KEPT:
         KEPT.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that is free, and what is quickly made anew, back to the system: idle workers count as an executor's memory."""
+    import pyarrow as pa
+
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """The same function of batches; the worker is trimmed once its last batch is out and nothing of it is held."""
+
+    def and_trim(batches):
+        yield from run(batches)
+        trim()
+
+    return and_trim
 
 
 def parts(batches, rows: int = 256):

@@ -460,6 +460,19 @@ def test_bpe_same_as_library(spark, docs, edge, empty):
     assert bpe.encode(empty, ["doc_id"]).collect() == []
 
 
+def test_workers_give_memory_back(docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: made.append((self, f)) or self)
+    jaccard.members(docs, "doc_id", "text", [])
+    bpe.encode(docs, ["doc_id"])
+    (rows, members), (texts, encode) = made
+    assert sum(len(b) for b in members(iter(rows.toArrow().to_batches()))) == docs.count() and not kernel._powers
+    kernel.release()
+    kernel.powers(1)
+    assert sum(len(b) for b in encode(iter(texts.toArrow().to_batches()))) == docs.count() and not kernel._powers
+    kernel.release()
+
+
 def test_bpe_walks_a_word_once(monkeypatch):
     walked = []
     walk = bpe.encode_words
