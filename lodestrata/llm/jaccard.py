@@ -44,6 +44,8 @@ ROUNDS, CENTERS = 3, 3  # further stars of frequent tokens, and centers of each
 COMBINED = 24  # tokens of a node up to which combinations are made
 SEEN = 1 << 19  # nodes that a task remembers, so as to send copies once
 SMALL = 2_000_000  # rows up to which a table of numbers is broadcast
+PIECE = 1 << 18  # bytes of text, MADE rows, HELD tokens: what a worker works on at a time, so that it stays small
+MADE, HELD = 1 << 17, 1 << 20
 
 
 def node_of(s: np.ndarray) -> int:
@@ -57,7 +59,7 @@ def _sets(batches, column: int, n: int = WORDS):
     kernel.release()
     for batch in batches:
         sets: list[np.ndarray] = []
-        for _, buf, offsets in kernel.pieces(batch.column(column)):
+        for _, buf, offsets in kernel.pieces(batch.column(column), PIECE):
             sets += kernel.shingles(kernel.LOWERED[buf], offsets, n)
         yield batch, sets
 
@@ -99,12 +101,16 @@ def frequent(docs: DataFrame, text: str, least: int = HEAVY, most: int = MOST_HE
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     bits = min(24, max(6, ceil(log2(size / 6 / 2e6 + 1))))
+    held_tokens = HELD  # as it is on the driver
 
     def cut(batches):
         import pyarrow as pa
 
         def flush(held):
-            t = np.sort(np.concatenate(held) >> np.uint64(32 - bits))
+            t = np.concatenate(held)
+            held.clear()
+            t >>= np.uint64(32 - bits)
+            t.sort()
             edges = np.searchsorted(t, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
             full = np.flatnonzero(np.diff(edges))
             rows = [pack(t[edges[i] : edges[i + 1]] & np.uint64(0xFFFFFFFF)) for i in full]
@@ -114,7 +120,7 @@ def frequent(docs: DataFrame, text: str, least: int = HEAVY, most: int = MOST_HE
         for _, s in _once(batches, 0):
             held.append(s)
             n += len(s)
-            if n > 1 << 21:
+            if n > 2 * held_tokens:
                 yield flush(held)
                 held, n = [], 0
         if held:
@@ -145,13 +151,13 @@ def frequent(docs: DataFrame, text: str, least: int = HEAVY, most: int = MOST_HE
                 run = unpack(raw)
                 parts.append((run, np.ones(len(run), np.int64)))
                 held += len(run)
-                if held > 1 << 22:  # a token in very many texts is held as a number only
+                if held > held_tokens:  # a token in very many texts is held as a number only
                     parts, held = [merged(parts)], 0
         if parts:
             yield close(bucket, parts)
 
-    runs = _texts(docs, text).mapInArrow(cut, "bucket int, run binary").repartition("bucket").sortWithinPartitions("bucket")
-    top = runs.mapInArrow(count, "token long, df long").orderBy(F.col("df").desc(), "token").limit(most).toPandas()  # `most` rows at most
+    runs = _texts(docs, text).mapInArrow(kernel.trimmed(cut), "bucket int, run binary").repartition("bucket").sortWithinPartitions("bucket")
+    top = runs.mapInArrow(kernel.trimmed(count), "token long, df long").orderBy(F.col("df").desc(), "token").limit(most).toPandas()  # `most` rows at most
     top = top.sort_values("token")
     return top["token"].to_numpy(np.uint64), top["df"].to_numpy(np.int64), bits
 
@@ -162,6 +168,7 @@ def frequent(docs: DataFrame, text: str, least: int = HEAVY, most: int = MOST_HE
 def index(docs: DataFrame, text: str, top) -> DataFrame:
     """(token, node, n, pos): the extended prefix of every node, in the common order."""
     shipped = docs.sparkSession.sparkContext.broadcast(top)  # MOST_HEAVY rows at most
+    made = MADE
 
     def run(batches):
         import pyarrow as pa
@@ -188,13 +195,13 @@ def index(docs: DataFrame, text: str, top) -> DataFrame:
                 s = s[np.argsort(df, kind="stable")]
             held.append((s[:prefix], node, n))
             total += prefix
-            if total > 1 << 18:
+            if total > made:
                 yield flush(held)
                 held, total = [], 0
         if held:
             yield flush(held)
 
-    return _texts(docs, text).mapInArrow(run, "token long, node long, n int, pos int")
+    return _texts(docs, text).mapInArrow(kernel.trimmed(run), "token long, node long, n int, pos int")
 
 
 # 3. candidates
@@ -212,6 +219,7 @@ def candidates(idx: DataFrame) -> DataFrame:
 
     Entries come sorted by token and size; only the first RARE of a token are ever held.
     """
+    most = MADE
 
     def run(batches):
         import pyarrow as pa
@@ -285,7 +293,7 @@ def candidates(idx: DataFrame) -> DataFrame:
                     if head.shape[1] > RARE:
                         center, frequent_run = stars(head, None), True
                         head = head[:, -1:]
-                if made > 1 << 19:
+                if made > most:
                     yield drain()
         if token is not None and not frequent_run and head.shape[1] > 1:
             rare(head)
@@ -293,7 +301,7 @@ def candidates(idx: DataFrame) -> DataFrame:
             yield drain()
 
     dealt = idx.repartition("token").sortWithinPartitions("token", "n", "node")
-    return dealt.mapInArrow(run, "kind int, token long, a long, b long, n int, pos int")
+    return dealt.mapInArrow(kernel.trimmed(run), "kind int, token long, a long, b long, n int, pos int")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -319,7 +327,7 @@ def sets_of(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
         yield batch(held)
 
     nodes = written(nodes.distinct())
-    every = _texts(docs, text).mapInArrow(run, "node long, tokens binary")
+    every = _texts(docs, text).mapInArrow(kernel.trimmed(run), "node long, tokens binary")
     return every.join(small(nodes), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -342,7 +350,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     one, two = (sets.select(F.col("node").alias(side), F.col("tokens").alias(f"_{side}")) for side in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(kernel.trimmed(run), "a long, b long")
 
 
 # 4. what stars leave open
@@ -387,7 +395,7 @@ def signatures(sets: DataFrame) -> DataFrame:
                 rows.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "sig"])
 
-    return sets.mapInArrow(run, "node long, sig array<long>")
+    return sets.mapInArrow(kernel.trimmed(run), "node long, sig array<long>")
 
 
 def alike(sig1, n1, sig2, n2):
@@ -460,7 +468,6 @@ def members(docs: DataFrame, doc_id: str, text: str, extra: list[str]) -> DataFr
 
     own = docs.select(doc_id, F.col(text).cast("binary").alias("_t"), *extra)
     f = own.schema.fields
-    # the last Python of a deduplication: each worker gets a task, and is small when other stages follow
     return own.mapInArrow(kernel.trimmed(run), ", ".join([f"`{doc_id}` {f[0].dataType.simpleString()}", "n_shingles long", "node long", *[f"`{x.name}` {x.dataType.simpleString()}" for x in f[2:]]]))
 
 

@@ -209,4 +209,4 @@ def score(docs: DataFrame, model: Additive, keep: list[str], text: str = "text",
             yield pa.RecordBatch.from_arrays([*columns, pa.array(shipped.value.score(x), pa.float64())], names=[*keep, name])
 
     own = small_batches(docs).select(*keep, *([docs[text].cast("binary").alias(fresh(keep, "_text"))] if text not in keep else []))
-    return own.mapInArrow(run, with_score(own, len(keep), name))
+    return own.mapInArrow(kernel.trimmed(run), with_score(own, len(keep), name))

@@ -527,4 +527,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", na
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(scores, pa.float64())], names=[*keep, name])
 
     own = small_batches(docs).select(*keep, *([docs[text].alias(fresh(keep, "_text"))] if text not in keep else []))
-    return own.mapInArrow(run, with_score(own, len(keep), name))
+    return own.mapInArrow(kernel.trimmed(run), with_score(own, len(keep), name))

@@ -473,6 +473,39 @@ def test_workers_give_memory_back(docs, monkeypatch):
     kernel.release()
 
 
+def test_join_workers_stay_small(spark, docs, monkeypatch):
+    made, given = [], []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: made.append(f) or plain(self, f, schema))
+    some = docs.where("doc_id < 60")
+    top = jaccard.frequent(some, "text")
+    sets = jaccard.sets_of(some, "text", jaccard.members(some, "doc_id", "text", []).select("node"))
+    jaccard.candidates(jaccard.index(some, "text", top))
+    jaccard.verify(spark.createDataFrame([], "a long, b long"), sets)
+    jaccard.signatures(sets)
+    quality.score(some, None, ["doc_id"])
+    toxicity.score(some, None, ["doc_id"])
+    monkeypatch.undo()
+    kernel.release()
+    monkeypatch.setattr(kernel, "trim", lambda: given.append(1))
+    monkeypatch.setattr(toxicity, "Scorer", lambda model: None)
+    for i, f in enumerate(made, 1):
+        list(f(iter([])))
+        assert len(given) == i
+    assert len(made) == 10
+
+
+def test_join_takes_texts_in_small_runs():
+    import pyarrow as pa
+
+    kernel.trim()
+    rows = [b" ".join(b"w%d" % (i * j) for j in range(100)) for i in range(4000)]
+    ((_, sets),) = jaccard._sets(iter([pa.RecordBatch.from_arrays([pa.array(rows)], names=["t"])]), 0)
+    assert len(sets) == len(rows) and all(a.tolist() == kernel.shingles(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0].tolist() for a, r in zip(sets[::500], rows[::500], strict=True))
+    assert len(kernel._powers["up"]) <= 1 << 19
+    kernel.trim()
+
+
 def test_bpe_walks_a_word_once(monkeypatch):
     walked = []
     walk = bpe.encode_words
