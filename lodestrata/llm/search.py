@@ -4,11 +4,12 @@ The texts are cut into words once; each text's distinct words and their counts a
 pass over that table counts the texts, their words, and in how many texts each query word is. A second pass builds postings of
 the query words for each run of SHARD texts, with the largest impact of each word and of each word in each block of BLOCK texts.
 
-A query's words are ordered by their largest impact. Those whose largest impacts together stay below the threshold, the k-th
-best score known, can't bring a text into the result by themselves, so only the postings of the others are added up (as
-pivots can only be texts in those lists). To such a partial score the block maxima of the words left out are added; texts
-whose bound is below the threshold are dropped, and the rest are scored exactly, by falling bound, until no bound reaches the
-threshold, which rises all the while. Texts of a shard are worked on together, in arrays, not by cursors that move from
+In a shard, words of very many texts have a row with a number for each text; what they add to every text's score for many
+queries is one product of matrices in single precision, whose rounding widens the bounds. The other words are ordered by their
+largest impact. Those whose largest impacts together stay below the threshold, the k-th best score known, are left out if that
+saves most postings; the postings of the others are added to the product. To such a partial score the block maxima of the words
+left out are added; texts whose bound is below the threshold are dropped, and the rest are scored exactly, by falling bound, until
+no bound reaches the threshold, which rises all the while. Texts of a shard are worked on together, in arrays, not by cursors that move from
 posting to posting; what is pruned is the same. A first threshold comes from a search of every SEED-th text. Tasks send k
 results a query at most, and the k best of these are the k best of all. Bounds are compared with a slack for rounding, so
 nothing that ties is lost; equal scores go by doc_id.
@@ -37,8 +38,11 @@ K1, B = 1.2, 0.75
 K = 10
 SHARD, BLOCK = 8192, 64
 MOST_POSTINGS = 1 << 22  # postings after which a shard is closed, though it has fewer texts
+PIECE = 1 << 18  # bytes of text that are cut into words at once
 SEED = 32  # every how manieth text, by a hash, gives the first thresholds
 DENSE = 16  # a word in a 16th of a shard's texts has a row with a number for each of them
+TOGETHER = 128  # queries whose sums of such rows are made at once
+LEFT = 1.25  # words are left out of the first sums if these have so many times fewer postings then
 QUERY_WORDS = 1_000_000
 SLACK = 1e-9
 BREAK = np.ones(256, bool)
@@ -61,7 +65,7 @@ def index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in kernel.parts(batches, 2048):
             n: list[int] = []
             words, counts = [], []
-            for _, buf, offsets in kernel.pieces(batch.column(1)):
+            for _, buf, offsets in kernel.pieces(batch.column(1), PIECE):
                 h, at = terms(buf, offsets)
                 n += np.diff(at).tolist()
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -70,7 +74,7 @@ def index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     counts.append(c.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], names=["d", "n", "words", "counts"])
 
-    return small_batches(docs).select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("binary").alias("t")).mapInArrow(cut, "d long, n long, words binary, counts binary")
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("binary").alias("t")).mapInArrow(kernel.trimmed(cut), "d long, n long, words binary, counts binary")
 
 
 def _flat(column, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +108,7 @@ def spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def sums(at: np.ndarray, value: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Sums of values by place, over the ranges; long ranges are copied as they stand, short ones picked."""
-    if len(starts) and int((ends - starts).sum()) > 16 * len(starts):
+    if len(starts) and int((ends - starts).sum()) > 256 * len(starts):
         ranges = list(map(slice, starts.tolist(), ends.tolist()))
         return np.bincount(np.concatenate([at[r] for r in ranges]), np.concatenate([value[r] for r in ranges]), n)
     p = spread(starts, ends)
@@ -126,18 +130,28 @@ def first_of_each(ids: np.ndarray, digests: np.ndarray, k: int) -> np.ndarray:
 class Shard:
     """Postings of some texts by text and by word, with the largest impact of each word and of each word in each block.
 
+    Words of many texts have rows instead, in single precision, which are added up for many queries at once as a product of matrices.
     word and impact come text by text, words ascending; `sizes` has the number of postings of each text."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, word: np.ndarray, impact: np.ndarray, words: int, block: int = BLOCK):
-        self.ids, self.word, self.weight = ids, word.astype(np.int32), impact
+        self.ids, self.word, self.weight = ids, word.astype(np.int32, copy=False), impact
         self.at = np.concatenate(([0], np.cumsum(sizes)))
-        order = np.argsort(self.word, kind="stable")
-        self.text, self.impact = np.repeat(np.arange(len(ids)), sizes)[order], impact[order]
-        word = word[order]
-        self.of_word = np.searchsorted(word, np.arange(words + 1))
+        text = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        n = np.bincount(self.word, minlength=words)
+        often = np.flatnonzero(n * DENSE >= max(1, len(ids)))
+        self.row = np.full(words, -1, np.int32)  # which row a word of many texts has
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(ids)), np.float32)
+        row = self.row[self.word]
+        self.rows[row[row >= 0], text[row >= 0]] = impact[row >= 0]
+        few = np.flatnonzero(row < 0)
+        few = few[np.argsort(self.word[few], kind="stable")]
+        self.text, self.impact, word = text[few].astype(np.int64), impact[few], self.word[few].astype(np.int64)
+        n[often] = 0
+        self.of_word = np.concatenate(([0], np.cumsum(n)))
         cell = word * (len(ids) // block + 1) + self.text // block
         starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
-        self.most = np.maximum.reduceat(impact[order], starts) if len(cell) else np.zeros(0)
+        self.most = np.maximum.reduceat(self.impact, starts) if len(cell) else np.zeros(0)
         self.block = self.text[starts] // block
         self.cells = np.searchsorted(word[starts], np.arange(words + 1))
         self.peak = np.zeros(words)
@@ -145,24 +159,19 @@ class Shard:
         if len(have):
             self.peak[have] = np.maximum.reduceat(self.most, self.cells[have])
         self.blocks = np.arange(len(ids)) // block
-        n = np.diff(self.of_word)
-        often = np.flatnonzero(n * DENSE >= len(ids)) if len(ids) else np.zeros(0, np.int64)
-        self.row = np.full(words, -1)  # which row a word of many texts has
-        self.row[often] = np.arange(len(often))
-        self.rows = np.zeros((len(often), len(ids)))
-        for i, w in enumerate(often.tolist()):
-            p = slice(self.of_word[w], self.of_word[w + 1])
-            self.rows[i, self.text[p]] = self.impact[p]
         self.asked = np.zeros(words, bool)
 
+    def often(self, queries: list[np.ndarray]) -> np.ndarray:
+        """For each query and text, the impacts of words that have rows, added up in single precision."""
+        which = np.zeros((len(queries), len(self.rows)), np.float32)
+        for i, words in enumerate(queries):
+            row = self.row[words]
+            which[i, row[row >= 0]] = 1
+        return which @ self.rows
+
     def total(self, words: np.ndarray) -> np.ndarray:
-        """The impacts of some words in every text, added up."""
-        row = self.row[words]
-        few = words[row < 0]
-        out = sums(self.text, self.impact, self.of_word[few], self.of_word[few + 1], len(self.ids)).astype(float, copy=False)
-        for r in row[row >= 0].tolist():
-            out += self.rows[r]
-        return out
+        """The impacts of some words without rows in every text, added up."""
+        return sums(self.text, self.impact, self.of_word[words], self.of_word[words + 1], len(self.ids))
 
     def exact(self, texts: np.ndarray) -> np.ndarray:
         """Scores by the words in `asked`, added up in the order of words, so that equal texts have equal scores."""
@@ -171,25 +180,27 @@ class Shard:
         ok = self.asked[self.word[p]]
         return np.bincount(np.repeat(np.arange(len(texts)), b - a)[ok], self.weight[p[ok]], len(texts))
 
-    def search(self, words: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray], floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """best: (scores, ids) so far, best first; floor: a score that k texts are known to reach. Returns `best` with this shard's
-        results taken in."""
+    def search(self, words: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray], floor: float, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """best: (scores, ids) so far, best first; floor: a score that k texts are known to reach; often: this query's row of `often`.
+        Returns `best` with this shard's results taken in."""
+        if often is None:
+            often = self.often([words])[0]
+        slack = 1 + SLACK + 2 * len(self.rows) * 2.0**-24  # all impacts are positive, so sums of n are off by n roundings at most
+        if len(best[0]) >= k:
+            floor = max(floor, best[0][k - 1])
         peak = self.peak[words]
         order = np.argsort(peak, kind="stable")
         order = order[np.searchsorted(peak[order], 0.0, "right") :]
-        if not len(order):
-            return best
-        if len(best[0]) >= k:
-            floor = max(floor, best[0][k - 1])
-        most = np.cumsum(peak[order]) * (1 + SLACK)
+        most = np.cumsum(peak[order]) * slack
+        postings = np.cumsum(self.of_word[words[order] + 1] - self.of_word[words[order]])
         split = int(np.searchsorted(most, floor))  # words before it stay below the floor together
+        if split and LEFT * postings[split - 1] < postings[-1]:
+            split = 0  # leaving them out saves less than the bounds cost that are then asked for
         few, rest = words[order[split:]], words[order[:split]]
-        if not len(few):
-            return best
-        bound = self.total(few)
-        slack = 1 + SLACK
-        todo = np.flatnonzero((bound > 0) & (bound * slack + (most[split - 1] if split else 0.0) >= floor))
-        if split and len(todo):
+        bound = often + self.total(few) if len(few) else often.astype(float)
+        left = most[split - 1] if split else 0.0
+        todo = np.flatnonzero((bound * slack >= floor - left) & (bound + left > 0))
+        if split and len(todo) > 2 * k:
             by_block = sums(self.block, self.most, self.cells[rest], self.cells[rest + 1], self.blocks[-1] + 1)
             upper = bound[todo] + by_block[self.blocks[todo]]
             todo, upper = todo[upper * slack >= floor], upper[upper * slack >= floor]
@@ -198,7 +209,9 @@ class Shard:
                 todo, upper = todo[upper * slack >= floor], upper[upper * slack >= floor]
             bound = upper * slack
         else:
-            bound = bound[todo] * slack
+            bound = (bound[todo] + left) * slack
+        if not len(todo):
+            return best
         if len(todo) > 4 * k:  # the best first, so that the floor rises before the others are put in order
             first = np.argpartition(-bound, 2 * k)[: 2 * k]
             self.asked[words] = True
@@ -284,7 +297,7 @@ def _block(source: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             binary = lambda x: pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(x.astype(np.int32))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary(w), binary(tf)], names=["d", "n", "words", "counts"])
 
-    source = written(source.mapInArrow(match, "d long, n long, words binary, counts binary"))
+    source = written(source.mapInArrow(kernel.trimmed(match), "d long, n long, words binary, counts binary"))
 
     def count(batches):
         import pyarrow as pa
@@ -297,7 +310,7 @@ def _block(source: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [n, length]))], names=["w", "n"])
 
-    counts = source.select("n", "words").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()  # a row for each query word
+    counts = source.select("n", "words").mapInArrow(kernel.trimmed(count), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()  # a row for each query word
     df, sums = np.zeros(len(vocabulary)), {-1: 0, -2: 0}
     w, n = counts["w"].to_numpy(), counts["n"].to_numpy()
     df[w[w >= 0]] = n[w >= 0]
@@ -320,8 +333,10 @@ def _block(source: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 keep = first_of_each(ids, digests, k)
                 at = np.repeat(keep, sizes)
                 shard = Shard(ids[keep], sizes[keep], word[at], impact[at], len(vocabulary), block)
-                for i, q in enumerate(queries):
-                    best[i] = shard.search(q, k, best[i], floor[i])
+                for a in range(0, len(queries), TOGETHER):
+                    often = shard.often(queries[a : a + TOGETHER])
+                    for i, q in enumerate(queries[a : a + TOGETHER], a):
+                        best[i] = shard.search(q, k, best[i], floor[i], often[i - a])
 
             new = lambda: ([], [], [], [], [])
             lists, held, size = new(), 0, 0
@@ -345,7 +360,7 @@ def _block(source: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             s = np.concatenate([b[0] for b in best]) if best else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n).astype(np.int64)), pa.array(d, mask=d == NO_ID), pa.array(s)], names=["q", "d", "score"])
 
-        return texts.mapInArrow(run, "q long, d long, score double")
+        return texts.mapInArrow(kernel.trimmed(run), "q long, d long, score double")
 
     some = source.where(F.pmod(F.xxhash64("d", "words"), F.lit(seed)) == 0)
     first = searched(some.coalesce(max(1, source.rdd.getNumPartitions() // 8)), None)  # fewer tasks, as each goes through all queries

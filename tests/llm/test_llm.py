@@ -561,6 +561,33 @@ def test_search_brute_force(spark, docs, monkeypatch, shard, block, query_words)
         assert all(math.isclose(a, -b) for (a, _), (b, _) in zip(got[q], want, strict=True))
 
 
+@pytest.mark.parametrize("left", [1.25, 1e9])
+def test_search_adds_frequent_words_for_many_queries_at_once(monkeypatch, left):
+    monkeypatch.setattr(search, "LEFT", left)
+    rng = np.random.default_rng(7)
+    texts, words, k = 400, 300, 5
+    has = rng.random((texts, words)) < np.concatenate((np.full(40, 0.3), np.full(words - 40, 0.02)))
+    has[-20:] = has[:20]  # equal texts, so equal scores
+    impact = np.where(has, rng.random(words) * 3 + 1e-3, 0.0)
+    shard = search.Shard(np.arange(texts), has.sum(1), np.nonzero(has)[1].astype(np.int32), impact[has], words, 16)
+    queries = [np.sort(rng.choice(words, n, False)) for n in (1, 2, 5, 60, 200, 300)]
+    added = []
+    plain = search.sums
+    monkeypatch.setattr(search, "sums", lambda at, value, starts, ends, n: added.append(int((ends - starts).sum())) or plain(at, value, starts, ends, n))
+    often = shard.often(queries)
+    assert not added and len(shard.rows) >= 40
+    for q, row in zip(queries, often, strict=True):
+        want = impact[:, q].sum(1)
+        assert np.allclose(row, impact[:, [w for w in q if shard.row[w] >= 0]].sum(1), rtol=1e-5)
+        scores = np.array([sum(impact[t, w] for w in q) for t in range(texts)])
+        order = np.lexsort((np.arange(texts), -scores))[:k]
+        order = order[scores[order] > 0]
+        for floor in (0.0, scores[order[-1]] * 0.7, scores[order[-1]]):
+            got = shard.search(q, k, (np.zeros(0), np.zeros(0, np.int64)), floor, row)
+            assert got[1].tolist() == order.tolist() and np.allclose(got[0], want[order])
+    assert all(n <= has[:, 40:].sum() for n in added)
+
+
 def test_search_edges(spark, edge, empty):
     asked = edge.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
     assert search.search(empty, asked).collect() == [] and search.search(edge, asked.limit(0)).collect() == []
